@@ -14,7 +14,7 @@ from .shared import checkpointed, shuffle_width
 Schedule = Sequence[tuple[float, float]]
 
 #: Documents of a source that one window task orders, about.
-_PER_RUN = 50_000
+_PER_RUN = 4_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
