@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_width
 
-#: A paragraph ends at a line's end, or at the first sentence's mark after 240 characters, or at the latest after 480.
-PARAGRAPH = r"[^\n]{0,240}+[^.!?|\n]{0,240}+[.!?|\n]*+"
+#: A paragraph ends at a line's end, or at the first sentence's mark after 160 characters, or at the latest after 400.
+PARAGRAPH = r"[^\n]{0,160}+[^.!?|\n]{0,240}+[.!?|\n]*+"
 #: Cells in each of the three rows of a fingerprint.
 BASE = 4
 #: Cells in each row of a larger sketch, by the digests that may differ: share and spare cells of each retry. The first goes by
