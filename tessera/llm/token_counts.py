@@ -74,6 +74,8 @@ class LongestMatch:
                     self.fail[v], self.popped[v] = self.edges[at][c], popped
 
     def count(self, word: bytes) -> int:
+        if not word:
+            return 0
         at, n = 0, 0
         for c in word:
             while (nxt := self.edges[at].get(c)) is None:
@@ -87,7 +89,7 @@ class LongestMatch:
             at = self.fail[at]
             if at < 0:
                 return 1
-        return n if word else 0
+        return n
 
 
 def load_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
