@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,7 @@ def test_query_matches_sql(spark, name):
     for t in "customer supplier part orders lineitem events documents embeddings pages".split():
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLES[name]).df()[list(got.columns)]
-    rows = lambda df: list(tuple(None if x is None or x != x else round(x, 5) if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
+    cell = lambda x: None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float, np.number)) else str(x)
+    rows = lambda df: [tuple(map(cell, r)) for r in df.itertuples(index=False)]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, rows(got))) == sorted(map(key, rows(want))) if len(got) else not len(want)
