@@ -90,7 +90,6 @@ w as (select i, sum(mm / dd) e0 from p group by i), k as (select unnest([0.1, 0.
 select g, round(avg((0.7 * (1 - 1 / (1 + exp(-e / top))) >= 0.3)::int), 6) business, round(avg((0.7 * (1 - 1 / (1 + exp(-e / top))) <= 0.25)::int), 6) utility from u join t using (g) group by g""")
 def calibration_grid(spark, d):
     e = vectors.potential_energy(nodes(spark, d).select("id", "vector", "mass"))
-    g = spark.createDataFrame([(x,) for x in (0.1, 0.5, 1.0, 2.0, 5.0)], "g double")
     u = e.withColumn("g", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.5, 1.0, 2.0, 5.0)]))).withColumn("e", F.col("energy") * F.col("g"))
     top = u.groupBy("g").agg(F.max(F.abs("e")).alias("top"))
     s = u.join(F.broadcast(top), "g").withColumn("s", scores.business_score(F.col("e"), F.col("top"), F.lit(0.0)))  # five rows
@@ -346,7 +345,6 @@ def lru_evicted(spark, d):
     return relational.recency_eviction(read(spark, d, "events"), "user_id", "event_type", "ts", 3).select("user_id", "event_type", "recency", "evicted")
 
 
-_ARCH = "(['Gate', 'Sink', 'Transform', 'IO', 'Storage'])[list_position(['view', 'signup', 'purchase', 'error', 'click'], event_type)]"
 
 
 def observations(spark, d):
@@ -356,8 +354,6 @@ def observations(spark, d):
     return e.select("user_id", "ts", "event_id", kind.alias("kind"), (0.5 + (F.col("event_id") % 5) / 10).alias("weight"), (0.6 + (F.col("event_id") % 4) / 10).alias("trust"))
 
 
-_ONE = "p := list_transform(range(1, 6), lambda i: s.p[i] * case when i = s.o.k then 1 + s.o.tw else 1 - s.o.tw / 2 end)"
-
 
 @query()
 def belief_fold(spark, d):
