@@ -128,7 +128,7 @@ def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray, lower: bool = True
     return Words(h, s, e, np.searchsorted(s, at))
 
 
-def slices(texts: pa.Array, most: int = 4 << 20):
+def slices(texts: pa.Array, most: int = 1 << 19):
     """Row ranges of at most ``most`` bytes of text each; a longer single text is a range of its own."""
     _, at = buffers(texts)
     begin = 0
