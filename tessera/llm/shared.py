@@ -27,6 +27,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges to a checkpoint file of ``components``, and the files that any round may write.
+_PER_FILE, _LEAST_FILES = 20_000, 24
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,7 +69,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = checkpointed(star(star(now, True), False))
+        # Edges hardly grow in number; files follow them, so that late rounds don't write a tiny file for each shuffle partition.
+        now = checkpointed(star(star(now, True), False).coalesce(max(_LEAST_FILES, before[0] // _PER_FILE)))
         after = mark(now)
         if after == before:
             break
