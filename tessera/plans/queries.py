@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import lint, scores, text
+from tessera.functions import docstrings, lint, scores, text
 from tessera.operators import beliefs, graph, relational, scans, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,3 +416,23 @@ def session_activity(spark, d):
     from tessera.streaming.jobs import activity
 
     return activity(read(spark, d, "events"), "1 hour")
+
+
+@query(r"""with d as (select p_partkey, p_brand, p_partkey % 2 = 0 js, case when p_partkey % 2 = 0 then concat('/** Must check ', p_name, chr(10), ' * @param {string} brand ', p_brand, chr(10), ' * @return {number} size ', p_size)
+  else concat('@dev of ', p_type, chr(10), '@notice Pays ', p_name, chr(10), '@param brand ', p_brand, chr(10), '@return ok ', p_size) end doc from part),
+r as (select *, case when js then 'brand:string:' else 'brand::' end || regexp_extract(doc, '@param (?:\{\w+\} )?brand ([^\n]*)', 1) params, regexp_extract(doc, '@return (?:\{(\w+)\})?', 1) || ':' || regexp_extract(doc, '@return (?:\{\w+\}|ok) ([^\n]*)', 1) returned,
+  case when js then regexp_extract(doc, '(Must [^\n]*)', 1) else regexp_extract(doc, '@notice ([^\n]*)', 1) || '; ' || regexp_extract(doc, '@dev ([^\n]*)', 1) end rules from d)
+select p_partkey, params, returned, rules, p_brand || '(brand) — ' || trim(regexp_replace(doc, '[*/]+', '', 'g')) || ' Rules: ' || rules genome from r""")
+def docstring_genomes(spark, d):
+    k, text_of = F.col("p_partkey"), lambda *parts: F.concat(*[F.col(p).cast("string") if p.startswith("p_") else F.lit(p) for p in parts])
+    doc = F.when(k % 2 == 0, text_of("/** Must check ", "p_name", "\n * @param {string} brand ", "p_brand", "\n * @return {number} size ", "p_size")).otherwise(
+        text_of("@dev of ", "p_type", "\n@notice Pays ", "p_name", "\n@param brand ", "p_brand", "\n@return ok ", "p_size")
+    )
+    language = F.when(k % 2 == 0, "javascript").otherwise("solidity")
+    p = read(spark, d, "part").select(k, "p_brand", doc.alias("doc"), language.alias("language"))
+    x = p.withColumns({f.__name__: f(F.col("doc"), F.col("language")) for f in (docstrings.params, docstrings.returns, docstrings.rules)})
+    return x.select(
+        k, F.array_join(F.transform("params", lambda q: F.concat_ws(":", q["name"], q["type"], q["description"])), "|").alias("params"),
+        F.concat_ws(":", "returns.type", "returns.description").alias("returned"), F.array_join("rules", "; ").alias("rules"),
+        docstrings.genome(F.col("p_brand"), F.lit("brand"), F.col("doc"), F.col("rules")).alias("genome"),
+    )
