@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import docstrings, lint, scores, text
-from tessera.operators import beliefs, graph, relational, scans, vectors
+from tessera.operators import beliefs, graph, relational, scans, traversal, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -436,3 +436,11 @@ def docstring_genomes(spark, d):
         F.concat_ws(":", "returns.type", "returns.description").alias("returned"), F.array_join("rules", "; ").alias("rules"),
         docstrings.genome(F.col("p_brand"), F.lit("brand"), F.col("doc"), F.col("rules")).alias("genome"),
     )
+
+
+@query()  # a walk in queue order; tested against one with a queue
+def behaviour_map(spark, d):
+    x = read(spark, d, "lineitem")
+    at = F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal")
+    e = x.groupBy((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst"), F.concat(F.lit("flag == '"), "l_returnflag", F.lit("'")).alias("condition")).agg(at)
+    return traversal.behaviour(e, e.select(F.col("src").alias("start")), scenario=("flag == 'N'",))
