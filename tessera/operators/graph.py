@@ -40,9 +40,14 @@ def blast_radius(edges: DataFrame, start: DataFrame) -> DataFrame:
     return reach(edges, start, 3).select("start", "node", names.alias("ring"))
 
 
-def lineage(parents: DataFrame, depth: int) -> DataFrame:
-    """id, root, hops: parent links followed by pointer jumping, ``depth`` hops at most by doubling; cycles end with the bound."""
+def lineage(parents: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, root, hops: parent links followed by pointer jumping, ``depth`` hops at most by doubling; cycles end with the bound.
+
+    Without ``depth``, doubling goes on until every root is known.
+    """
     at = parents.select("id", F.col("parent").alias("root"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("hops"))
+    if depth is None:
+        return _whole_lineage(at)
     reached, n = at, 1
     while n < depth:
         a, b = reached.alias("a"), reached.alias("b")
@@ -55,6 +60,24 @@ def lineage(parents: DataFrame, depth: int) -> DataFrame:
     return reached.select("id", F.coalesce("root", "id").alias("root"), "hops")
 
 
+def _whole_lineage(at: DataFrame) -> DataFrame:
+    """A row is open while its root may have a parent; only open rows are joined, so the root of a long chain is no hot key.
+
+    Rows that lead into a cycle stay open and end once more hops were made than there are rows.
+    """
+    state = checkpointed(at.withColumn("open", F.col("root").isNotNull()))
+    done, now, n, limit = state.where("not open"), state.where("open"), 1, 2 * state.count()
+    while n < limit and not now.isEmpty():
+        a, b = now.alias("a"), done.union(now).alias("b")
+        state = checkpointed(
+            a.join(b, F.col("a.root") == F.col("b.id"), "left").select(
+                "a.id", F.coalesce("b.root", "a.root").alias("root"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"), F.coalesce("b.open", F.lit(False)).alias("open")
+            )
+        )
+        done, now, n = done.union(state.where("not open")), state.where("open"), 2 * n
+    return done.union(now).select("id", F.coalesce("root", "id").alias("root"), "hops")
+
+
 def gates(edges: DataFrame, sensitive: Column, least: int = 2) -> DataFrame:
     """node, callers, gate_confidence of callees that ``sensitive`` holds for and that have ``least`` callers or more."""
     n = edges.where(sensitive).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers"))

@@ -325,6 +325,35 @@ def lineage_chain(spark, d):
     return graph.lineage(e.select(F.col("event_id").alias("id"), "parent"), 32)
 
 
+# The three above, as their SQL has them, start from some nodes and cut chains; these take every node and whole chains.
+
+
+def every_node(e: DataFrame) -> DataFrame:
+    return e.select("src").union(e.select("dst")).distinct()
+
+
+@query(f"""with recursive {_EDGES}, r(start, node, depth) as (select src, src, 0 from (select src from e union select dst from e) union select start, dst, depth + 1 from r join e on node = src where depth < 3)
+select start, node, (['direct', 'secondary', 'tertiary'])[min(depth)] ring from r group by start, node having min(depth) > 0""")
+def blast_radius_all(spark, d):
+    e = edges(spark, d)
+    return graph.blast_radius(e, every_node(e))
+
+
+@query(f"""with recursive {_EDGES}, b as (select src, dst from e union select dst, src from e), r(start, node, depth) as (select distinct src, src, 0 from b union select start, b.dst, depth + 1 from r join b on node = b.src where depth < 3)
+select start, node, min(depth)::int depth from r group by all having min(depth) > 0""")
+def call_path_trace_all(spark, d):
+    e = edges(spark, d)
+    return graph.reach(e, every_node(e), 3, "both")
+
+
+@query("""select event_id id, first(event_id) over w root, (row_number() over w - 1)::int hops from events window w as (partition by user_id order by ts, event_id)""")
+def lineage_chain_all(spark, d):
+    from pyspark.sql import Window as W
+
+    parent = F.lag("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return graph.lineage(read(spark, d, "events").select(F.col("event_id").alias("id"), parent.alias("parent")))
+
+
 @query("""select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) r from events) where r = 1""")
 def evidence_latest(spark, d):
     e = read(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")

@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from tessera.operators import beliefs
+from tessera.operators import beliefs, graph
 from tessera.plans.queries import QUERIES
 from tessera.streaming import jobs
 
@@ -23,3 +23,38 @@ def test_belief_fold_takes_every_user(spark, tmp_path):
     assert got.keys() == want.keys() and got[7]["n"] == 600
     for u, (p, support, n) in want.items():
         assert [got[u][a.lower()] for a in beliefs.ARCHETYPES] == pytest.approx(p, abs=1e-6) and (got[u]["support"], got[u]["n"]) == (pytest.approx(support), n)
+
+
+def test_lineage_follows_chains_to_the_end(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 1000 + i // 2 if i else None) for i in range(1, 50)]  # a chain, a tree whose first parent is itself no row
+    rows = [(i, None if p == 1000 else p) for i, p in rows] + [(2000, 5000), (3000, 3001), (3001, 3000)]  # a parent that is no row, a cycle
+    got = {r["id"]: (r["root"], r["hops"]) for r in graph.lineage(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    up = dict(rows)
+    assert len(got) == len(rows)
+    for i in up:
+        if i < 3000:
+            root, hops = i, 0
+            while up.get(root) is not None:
+                root, hops = up[root], hops + 1
+            assert got[i] == (root, hops)
+
+
+def test_walks_start_from_every_node(spark, tmp_path):
+    customer = pd.DataFrame({"c_custkey": range(1, 61), "c_nationkey": [i % 25 for i in range(60)]})
+    customer.to_parquet(tmp_path / "customer.parquet")
+    out = {(k, (k * 7 + n) % 1000) for k, n in zip(customer.c_custkey, customer.c_nationkey, strict=True)}
+
+    def walked(edges):
+        found = {}
+        for start in {x for e in edges for x in e}:
+            front, seen = {start}, {start}
+            for depth in (1, 2, 3):
+                front = {b for a, b in edges if a in front} - seen
+                seen |= front
+                found |= {(start, x): depth for x in front}
+        return found
+
+    rings = {(r["start"], r["node"]): ["direct", "secondary", "tertiary"].index(r["ring"]) + 1 for r in QUERIES["blast_radius_all"](spark, str(tmp_path)).collect()}
+    assert rings == walked(out)
+    both = {(r["start"], r["node"]): r["depth"] for r in QUERIES["call_path_trace_all"](spark, str(tmp_path)).collect()}
+    assert both == walked(out | {(b, a) for a, b in out})
