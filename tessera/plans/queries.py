@@ -282,6 +282,23 @@ def branch_diff(spark, d):
     return relational.snapshot_diff(old, new, "path", "content").select("path", "change")
 
 
+# Every document, by id: a quarter each only in the old snapshot, only in the new one, in both alike, and in both with the new text edited.
+
+
+def all_snapshots(spark, d):
+    docs, k = read(spark, d, "documents"), F.pmod("doc_id", F.lit(4))
+    edited = F.when(k == 3, F.concat("text", F.lit(" // edited"))).otherwise(F.col("text"))
+    return docs.where(k != 1).select(F.col("doc_id").alias("path"), F.col("text").alias("content")), docs.where(k != 0).select(F.col("doc_id").alias("path"), edited.alias("content"))
+
+
+@query("""with o as (select doc_id path, text content from documents where doc_id % 4 <> 1), n as (select doc_id path, case when doc_id % 4 = 3 then text || ' // edited' else text end content from documents where doc_id % 4 <> 0)
+select coalesce(o.path, n.path) path, case when o.path is null then 'added' when n.path is null then 'deleted' when o.content = n.content or trim(o.content, ' ') = '' or trim(n.content, ' ') = '' then 'same' else 'modified' end change
+from o full join n on o.path = n.path""")
+def branch_diff_all(spark, d):
+    old, new = all_snapshots(spark, d)
+    return relational.snapshot_diff(old, new, "path", "content").select("path", "change")
+
+
 @query("""with e as (select distinct l_suppkey s, l_partkey d from lineitem), o as (select s node, count(*) fan_out, 0 fan_in from e group by s union all select d, 0, count(*) from e group by d)
 select node, sum(fan_out)::bigint fan_out, sum(fan_in)::bigint fan_in from o group by node""")
 def call_fan_in_out(spark, d):

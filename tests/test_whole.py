@@ -58,3 +58,11 @@ def test_walks_start_from_every_node(spark, tmp_path):
     assert rings == walked(out)
     both = {(r["start"], r["node"]): r["depth"] for r in QUERIES["call_path_trace_all"](spark, str(tmp_path)).collect()}
     assert both == walked(out | {(b, a) for a, b in out})
+
+
+def test_branch_diff_takes_every_source_and_length(spark, tmp_path):
+    texts = ["same size", "equal len", "some text", "  ", "more text", "line text", "last text", "next text"]
+    rows = [(i, t, f"src{i + 17}", len(t)) for i, t in enumerate(texts)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
+    got = {r["path"]: r["change"] for r in QUERIES["branch_diff_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "deleted", 1: "added", 2: "same", 3: "same", 4: "deleted", 5: "added", 6: "same", 7: "modified"}
