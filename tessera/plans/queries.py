@@ -108,6 +108,8 @@ _SQL_SYMBOLS = f"""symbols as (select 'fn_' || (o_orderkey % 997) || case when o
   case when o_orderkey % 3 = 0 then 'public endpoint' else '' end docstring, (o_orderkey % 10) / 10.0::double score, 1.0 + (o_orderkey % 7) / 10.0::double mass, o_orderkey % 11 = 0 exported, o_orderkey from orders),
 rules as (select distinct 'fn_' || (l_orderkey % 997) source_function, case l_linenumber % 4 when 0 then 'authorization' when 1 then 'event' when 2 then 'io' else 'validation' end category,
   case l_orderkey % 3 when 0 then 'only the owner' when 1 then 'mask values' else 'writes rows' end description from lineitem where l_orderkey % 5 = 0)"""
+# The queries named _all take rules from every line; the others, as their SQL has it, from a fifth of them.
+_SQL_SYMBOLS_ALL = _SQL_SYMBOLS.replace(" where l_orderkey % 5 = 0", "")
 _SENS, _SAN = scans.SENSITIVE, scans.SANITISERS
 
 
@@ -122,7 +124,10 @@ def symbols(spark, d):
 
 
 def rules(spark, d):
-    x = read(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    return rules_of(read(spark, d, "lineitem").where("l_orderkey % 5 = 0"))
+
+
+def rules_of(x: DataFrame) -> DataFrame:
     n = F.col("l_linenumber")
     cat = F.when(n % 4 == 0, "authorization").when(n % 4 == 1, "event").when(n % 4 == 2, "io").otherwise("validation")
     what = F.when(F.col("l_orderkey") % 3 == 0, "only the owner").when(F.col("l_orderkey") % 3 == 1, "mask values").otherwise("writes rows")
@@ -169,6 +174,31 @@ def cwe_severity_matrix(spark, d):
     return relational.severity_matrix(scans.all_scans(symbols(spark, d), rules(spark, d)))
 
 
+def all_rules(spark, d):
+    return rules_of(read(spark, d, "lineitem"))
+
+
+@query(f"with {_SQL_SYMBOLS_ALL} {_FINDINGS}")
+def scan_union_report_all(spark, d):
+    return scans.all_scans(symbols(spark, d), all_rules(spark, d))
+
+
+@query(f"with {_SQL_SYMBOLS_ALL} {_SCANS['missing']}")
+def missing_authorization_all(spark, d):
+    return scans.missing_authorization(symbols(spark, d), all_rules(spark, d))
+
+
+@query(f"with {_SQL_SYMBOLS_ALL} {_SCANS['incorrect']}")
+def incorrect_authorization_all(spark, d):
+    return scans.incorrect_authorization(symbols(spark, d), all_rules(spark, d))
+
+
+@query(f"""with {_SQL_SYMBOLS_ALL}, f as ({_FINDINGS}) select cwe, count(*) n, min(case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end)::int worst,
+count(*) filter (where severity = 'CRITICAL') critical, count(*) filter (where severity = 'HIGH') high, count(*) filter (where severity = 'MEDIUM') medium, count(*) filter (where severity = 'LOW') low from f group by cwe""")
+def cwe_severity_matrix_all(spark, d):
+    return relational.severity_matrix(scans.all_scans(symbols(spark, d), all_rules(spark, d)))
+
+
 @query(f"select doc_id from documents where regexp_matches(text, {q(scans.CREDENTIAL)})")
 def scan_hardcoded_credentials(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("code"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("file"))
@@ -243,11 +273,24 @@ _LABEL_SQL = "case " + " ".join(f"when regexp_matches(n, {q(p)}) then '{v}'" for
 @query(f"""with w as (select unnest(['$user_id', 'session-id', 'csrf token', 'passwd2', 'my query', 'filename', 'header', 'xs', 'total_price', 'role']) w), s as (select event_id, ltrim(lower(w.w), '$') n from events, w where event_id % 10 = length(w.w) % 10)
 select {_LABEL_SQL} label, n, count(*) hits from s group by all""")
 def taint_labels(spark, d):
+    return labels_of(names_of(spark, d).where("event_id % 10 = length(w) % 10"))
+
+
+def names_of(spark, d):
     names = ["$user_id", "session-id", "csrf token", "passwd2", "my query", "filename", "header", "xs", "total_price", "role"]
-    e = read(spark, d, "events").select("event_id", F.explode(F.array(*map(F.lit, names))).alias("w")).where("event_id % 10 = length(w) % 10")
+    return read(spark, d, "events").select("event_id", F.explode(F.array(*map(F.lit, names))).alias("w"))
+
+
+def labels_of(e: DataFrame) -> DataFrame:
     return e.select(text.taint_label(F.col("w")).alias("label"), F.ltrim(F.lower("w"), F.lit("$")).alias("n")).groupBy("label", "n").agg(F.count("*").alias("hits"))
 
 
+@query(f"""with w as (select unnest(['$user_id', 'session-id', 'csrf token', 'passwd2', 'my query', 'filename', 'header', 'xs', 'total_price', 'role']) w), s as (select event_id, ltrim(lower(w.w), '$') n from events, w)
+select {_LABEL_SQL} label, n, count(*) hits from s group by all""")
+def taint_labels_all(spark, d):
+    return labels_of(names_of(spark, d))
+
+
 @query(r"""with d as (select doc_id, text, regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$|#.*$', '', 'g') plain from documents)
 select doc_id, regexp_matches(plain, '\bglobal\s+\w+') lr24, len(string_split(text, chr(10))) > 50 lr27, regexp_matches(plain, '(?i)\b(?:password|passwd|secret|api_key|token|private_key)\s*[:=]\s*[''"][^''"]{3,}[''"]') lr13,
 regexp_matches(plain, 'chmod\s*\([^)]*0?o?777') lr21 from d""")
@@ -311,6 +354,12 @@ def auth_gates(spark, d):
     return graph.gates(e, F.col("dst") % 3 == 0).withColumn("gate_confidence", F.round("gate_confidence", 6))
 
 
+@query("""select l_partkey node, count(distinct l_suppkey) callers, round(least(1.0, count(distinct l_suppkey) / 10), 6) gate_confidence from lineitem group by l_partkey having count(distinct l_suppkey) >= 2""")
+def auth_gates_all(spark, d):
+    e = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return graph.gates(e, F.lit(True)).withColumn("gate_confidence", F.round("gate_confidence", 6))
+
+
 _EDGES = "e as (select distinct c_custkey src, (c_custkey * 7 + c_nationkey) % 1000 dst from customer)"
 
 

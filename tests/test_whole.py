@@ -66,3 +66,16 @@ def test_branch_diff_takes_every_source_and_length(spark, tmp_path):
     pd.DataFrame(rows, columns=["doc_id", "text", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
     got = {r["path"]: r["change"] for r in QUERIES["branch_diff_all"](spark, str(tmp_path)).collect()}
     assert got == {0: "deleted", 1: "added", 2: "same", 3: "same", 4: "deleted", 5: "added", 6: "same", 7: "modified"}
+
+
+def test_rules_gates_and_labels_take_every_row(spark, tmp_path):
+    d = str(tmp_path)
+    pd.DataFrame({"l_orderkey": [3, 6, 7, 10], "l_linenumber": [4, 4, 1, 4], "l_partkey": [1, 1, 2, 3], "l_suppkey": [8, 9, 8, 8]}).to_parquet(tmp_path / "lineitem.parquet")
+    orders = pd.DataFrame({"o_orderkey": [3, 4, 6, 10, 15, 22]})  # 3, 6, 10: with an authorization rule that names the owner where divisible by 3
+    orders.to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame({"event_id": [1, 2, 3]}).to_parquet(tmp_path / "events.parquet")
+    assert {r["function"] for r in QUERIES["incorrect_authorization_all"](spark, d).collect()} == {"fn_3", "fn_6"}
+    assert {r["function"] for r in QUERIES["missing_authorization_all"](spark, d).collect()} == {"fn_15", "fn_22"}
+    assert {(r["node"], r["callers"]) for r in QUERIES["auth_gates_all"](spark, d).collect()} == {(1, 2)}
+    labels = QUERIES["taint_labels_all"](spark, d).collect()
+    assert len(labels) == 10 and {r["hits"] for r in labels} == {3}
