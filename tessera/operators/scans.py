@@ -97,11 +97,15 @@ def sink_weakness(sink: Column) -> Column:
 
 
 def tainted_sinks(flows: DataFrame) -> DataFrame:
-    """Tainted flow paths (file, line, variable, sink, state, seq), one finding for each place, variable and weakness."""
+    """Tainted flow paths (file, line, variable, sink, state, seq), one finding for each place, variable and weakness.
+
+    It is reported for the path's function where flows have one, else for the sink.
+    """
+    named = "function" if "function" in flows.columns else "sink"
     hit = flows.where("state = 'TAINTED'").withColumn("weakness", sink_weakness(F.col("sink"))).where("weakness is not null")
     return (
-        hit.groupBy("file", "line", "variable", "weakness").agg(F.min_by("sink", "seq").alias("sink"))
-        .select(F.format_string("CWE-%d", "weakness").alias("cwe"), F.lit("Tainted data reaches a sink").alias("title"), F.col("sink").alias("function"), "file", F.lit("CRITICAL").alias("severity"))
+        hit.groupBy("file", "line", "variable", "weakness").agg(F.min_by(named, "seq").alias("function"))
+        .select(F.format_string("CWE-%d", "weakness").alias("cwe"), F.lit("Tainted data reaches a sink").alias("title"), "function", "file", F.lit("CRITICAL").alias("severity"))
     )
 
 
@@ -113,7 +117,15 @@ def from_warning(warning: Column) -> Column:
     return out
 
 
-def all_scans(symbols: DataFrame, rules: DataFrame) -> DataFrame:
+def parser_warnings(warnings: DataFrame) -> DataFrame:
+    """Warnings (name, file, warning) that stand for a weakness; the title is the first 80 characters of the warning."""
+    hit = warnings.withColumn("hit", from_warning(F.col("warning"))).where("hit is not null")
+    return hit.select("hit.cwe", F.substring("warning", 1, 80).alias("title"), F.col("name").alias("function"), "file", "hit.severity")
+
+
+def all_scans(symbols: DataFrame, rules: DataFrame, flows: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """The union of all scans; those of flow paths and parser warnings where these are given."""
     parts = [f(symbols, rules) for f in (missing_authorization, incorrect_authorization, exposed_by_rule)]
     parts += [f(symbols) for f in (sensitive_in_logs, hardcoded_credentials, endless_loop, no_timeout, cleartext_storage)]
+    parts += [f(x) for f, x in ((tainted_sinks, flows), (parser_warnings, warnings)) if x is not None]
     return reduce(DataFrame.unionByName, parts)

@@ -178,11 +178,6 @@ def all_rules(spark, d):
     return rules_of(read(spark, d, "lineitem"))
 
 
-@query(f"with {_SQL_SYMBOLS_ALL} {_FINDINGS}")
-def scan_union_report_all(spark, d):
-    return scans.all_scans(symbols(spark, d), all_rules(spark, d))
-
-
 @query(f"with {_SQL_SYMBOLS_ALL} {_SCANS['missing']}")
 def missing_authorization_all(spark, d):
     return scans.missing_authorization(symbols(spark, d), all_rules(spark, d))
@@ -193,12 +188,6 @@ def incorrect_authorization_all(spark, d):
     return scans.incorrect_authorization(symbols(spark, d), all_rules(spark, d))
 
 
-@query(f"""with {_SQL_SYMBOLS_ALL}, f as ({_FINDINGS}) select cwe, count(*) n, min(case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end)::int worst,
-count(*) filter (where severity = 'CRITICAL') critical, count(*) filter (where severity = 'HIGH') high, count(*) filter (where severity = 'MEDIUM') medium, count(*) filter (where severity = 'LOW') low from f group by cwe""")
-def cwe_severity_matrix_all(spark, d):
-    return relational.severity_matrix(scans.all_scans(symbols(spark, d), all_rules(spark, d)))
-
-
 @query(f"select doc_id from documents where regexp_matches(text, {q(scans.CREDENTIAL)})")
 def scan_hardcoded_credentials(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("code"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("file"))
@@ -214,6 +203,35 @@ def sink_classes(spark, d):
     return w.where("weakness is not null").groupBy("weakness").agg(F.count("*").alias("n"))
 
 
+# Warnings of a parser, dealt by orderkey: one for each weakness, one that has none.
+PARSER_WARNINGS = (*(f"Line 7: {part.title()}." for part, _, _ in scans.WARNINGS), "Line 7: long line.")
+_WARNING_SQL = f"(list_value({', '.join(map(q, PARSER_WARNINGS))}))[o_orderkey % {len(PARSER_WARNINGS)} + 1]"
+_WARNED_SQL = "case " + " ".join(f"when contains(lower(warning), {q(part)}) then {{}}".format(f"{{'cwe': 'CWE-{cwe}', 'severity': '{severity}'}}") for part, cwe, severity in scans.WARNINGS) + " end"
+_FLOWS_SQL = f"""select cwe, title, "function", file, severity from (select 'CWE-' || weakness cwe, 'Tainted data reaches a sink' title, arg_min(name, o_orderkey) "function", file, 'CRITICAL' severity
+  from (select *, o_orderkey % 90 line, 'v' || (o_orderkey % 7) variable, {_SINK_SQL} weakness from (select *, code sink from symbols)) where o_orderkey % 4 > 0 and weakness is not null group by file, line, variable, weakness)"""
+_WARNINGS_SQL = f"""select w.cwe, warning[:80] title, name "function", file, w.severity from (select *, {_WARNED_SQL} w from (select *, {_WARNING_SQL} warning from symbols)) where w is not null"""
+_FINDINGS_ALL = f"{_FINDINGS} union all ({_FLOWS_SQL}) union all ({_WARNINGS_SQL})"
+
+
+def all_findings(spark, d):
+    """Of every scan: a flow path, tainted but for each fourth, and a warning for each symbol."""
+    s, k = symbols(spark, d), F.col("o_orderkey")
+    flows = s.select(F.col("name").alias("function"), "file", (k % 90).alias("line"), F.concat(F.lit("v"), (k % 7).cast("string")).alias("variable"), F.col("code").alias("sink"), F.when(k % 4 > 0, "TAINTED").otherwise("SAFE").alias("state"), k.alias("seq"))
+    warning = F.element_at(F.array(*map(F.lit, PARSER_WARNINGS)), (k % len(PARSER_WARNINGS) + 1).cast("int"))
+    return scans.all_scans(s, all_rules(spark, d), flows, s.select("name", "file", warning.alias("warning")))
+
+
+@query(f"with {_SQL_SYMBOLS_ALL} {_FINDINGS_ALL}")
+def scan_union_report_all(spark, d):
+    return all_findings(spark, d)
+
+
+@query(f"""with {_SQL_SYMBOLS_ALL}, f as ({_FINDINGS_ALL}) select cwe, count(*) n, min(case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end)::int worst,
+count(*) filter (where severity = 'CRITICAL') critical, count(*) filter (where severity = 'HIGH') high, count(*) filter (where severity = 'MEDIUM') medium, count(*) filter (where severity = 'LOW') low from f group by cwe""")
+def cwe_severity_matrix_all(spark, d):
+    return relational.severity_matrix(all_findings(spark, d))
+
+
 # ---------------------------------------------------------------- text
 
 _CATS = {c: sorted(set(k.split())) for c, k in text.RULE_KEYWORDS.items()}

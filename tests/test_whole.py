@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from tessera.operators import beliefs, graph
+from tessera.operators import beliefs, graph, scans
 from tessera.plans.queries import QUERIES
 from tessera.streaming import jobs
 
@@ -79,3 +79,12 @@ def test_rules_gates_and_labels_take_every_row(spark, tmp_path):
     assert {(r["node"], r["callers"]) for r in QUERIES["auth_gates_all"](spark, d).collect()} == {(1, 2)}
     labels = QUERIES["taint_labels_all"](spark, d).collect()
     assert len(labels) == 10 and {r["hits"] for r in labels} == {3}
+
+
+def test_all_scans_has_flows_and_warnings(spark):
+    symbols = spark.createDataFrame([("f", "a.py", "x = 7", "", 0.0, 0.0, False)], "name string, file string, code string, docstring string, score double, mass double, exported boolean")
+    rules = spark.createDataFrame([], "source_function string, category string, description string")
+    flows = spark.createDataFrame([("g", "b.py", 3, "v", "mysqli_query($v)", "TAINTED", 2), ("f", "b.py", 3, "v", "query", "TAINTED", 1), ("f", "b.py", 4, "v", "echo", "SAFE", 3)], "function string, file string, line int, variable string, sink string, state string, seq int")
+    warnings = spark.createDataFrame([("f", "a.py", "SECURITY CRITICAL: Use of eval " + "!" * 80), ("f", "a.py", "long line")], "name string, file string, warning string")
+    got = {(r["cwe"], r["function"], r["file"], r["severity"], len(r["title"])) for r in scans.all_scans(symbols, rules, flows, warnings).collect()}
+    assert got == {("CWE-89", "f", "b.py", "CRITICAL", 27), ("CWE-94", "f", "a.py", "CRITICAL", 80)}
