@@ -80,6 +80,23 @@ def entangled_pairs(spark, d):
     return s.where("force > 0.5").select("id", F.round("force", 6).alias("force"), F.round("net", 6).alias("net"))
 
 
+# Searches for the whole query set, ids divisible by 100, against all rows; the two above have one row each, as their SQL has it.
+
+
+@query(f"""with {_SQL_NODES}, s as (select a.id query, b.id, round({_COS}, 6) similarity from n a, n b where a.id % 100 = 0), r as (select *, row_number() over (partition by query order by similarity desc, id)::int rank from s)
+select query, id, similarity, rank from r where rank <= 10""")
+def vector_search_top10_all(spark, d):
+    n = nodes(spark, d)
+    return vectors.search(n, n.where("id % 100 = 0"), 10).select("query", "id", "similarity", "rank")
+
+
+@query(f"""with {_SQL_NODES} select a.id query, b.id, round(a.m * b.m / greatest(1 - {_COS}, 1e-5) ** 2, 6) force, round(a.m * b.m / greatest(1 - {_COS}, 1e-5) ** 2 - 0.1 / greatest(1 - {_COS}, 1e-5), 6) net
+from n a, n b where a.id % 100 = 0 and b.id <> a.id and a.m * b.m / greatest(1 - {_COS}, 1e-5) ** 2 > 0.5""")
+def entangled_pairs_all(spark, d):
+    n = nodes(spark, d)
+    return vectors.entangled(n, n.where("id % 100 = 0")).select("query", "id", F.round("force", 6).alias("force"), F.round("net", 6).alias("net"))
+
+
 @query(f"""with {_SQL_NODES}, c as (select sum(m * x) / sum(m) cx, sum(m * y) / sum(m) cy from n) select id, round(1 / (1 + sqrt((x - cx) ** 2 + (y - cy) ** 2)), 6) centrality from n, c""")
 def centroid_centrality(spark, d):
     return vectors.centrality(nodes(spark, d).drop("vector"), "x", "y", "mass").select("id", F.round("centrality", 6).alias("centrality"))

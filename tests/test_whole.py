@@ -1,9 +1,10 @@
 """The whole of each input is taken: results against brute force on small tables."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import beliefs, graph, scans
+from tessera.operators import beliefs, graph, scans, vectors
 from tessera.plans.queries import QUERIES
 from tessera.streaming import jobs
 
@@ -88,3 +89,24 @@ def test_all_scans_has_flows_and_warnings(spark):
     warnings = spark.createDataFrame([("f", "a.py", "SECURITY CRITICAL: Use of eval " + "!" * 80), ("f", "a.py", "long line")], "name string, file string, warning string")
     got = {(r["cwe"], r["function"], r["file"], r["severity"], len(r["title"])) for r in scans.all_scans(symbols, rules, flows, warnings).collect()}
     assert got == {("CWE-89", "f", "b.py", "CRITICAL", 27), ("CWE-94", "f", "a.py", "CRITICAL", 80)}
+
+
+def test_searches_take_every_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "_blocks", lambda df, block, cut=vectors._blocks: cut(df, 70))
+    rng = np.random.default_rng(5)
+    ids, x = list(range(3, 403)), rng.normal(size=(400, 4)).round(1)  # no row 0 or 1
+    x[50], x[200] = x[97], 0
+    pd.DataFrame({"vec_id": ids, "embedding": list(x), "label": [i % 3 for i in ids]}).to_parquet(tmp_path / "embeddings.parquet")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    mass = np.array([1 + 0.3 * (i % 3 or 1) + 0.5 * (i % 2) + 2.0 * (i % 5 == 0) for i in ids])
+    top = {(r["query"], r["rank"]): (r["id"], r["similarity"]) for r in QUERIES["vector_search_top10_all"](spark, str(tmp_path)).collect()}
+    pairs = {(r["query"], r["id"]): r["force"] for r in QUERIES["entangled_pairs_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for query in (100, 200, 300, 400):
+        cos = unit @ unit[query - 3]
+        order = sorted(range(400), key=lambda j, cos=cos: (-round(cos[j], 6), ids[j]))[:10]
+        assert [top[query, k + 1][1] for k in range(10)] == pytest.approx([cos[j] for j in order], abs=1e-6) and [top[query, k + 1][0] for k in range(10)] == [ids[j] for j in order]
+        force = mass * mass[query - 3] / np.maximum(1 - cos, 1e-5) ** 2
+        want |= {(query, ids[j]): force[j] for j in range(400) if j != query - 3 and force[j] > 0.5}
+    assert len(top) == 40 and pairs.keys() == want.keys() and all(pairs[k] == pytest.approx(v, rel=1e-4) for k, v in want.items())
