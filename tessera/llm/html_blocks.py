@@ -27,6 +27,9 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "title", "textarea")}
+# Of these, elements that stand in one another; in the foreign ones a slash closes.
+_NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*?(/?)(?:>|\Z)", re.I) for t in ("template", "noscript", "svg", "math", "object")}
+_FOREIGN = ("svg", "math")
 # Elements that begin and end a block.
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -49,11 +52,26 @@ class Block:
     linked: float
 
 
+def _ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where elements end, by where they start; those without a closing tag of their own are left out."""
+    begun: list[int] = []
+    ends: dict[int, int] = {}
+    for m in _NESTED[tag].finditer(page):
+        if not m[1]:
+            if not (m[2] and tag in _FOREIGN):
+                begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: their text with references decoded and white space evened out, and what they stand in."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    ends_of: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
     linked = links = 0
 
     def close() -> None:
@@ -103,8 +121,19 @@ def blocks(page: str) -> list[Block]:
         if tag in _RAW:
             if tag == "title" and not any(t == "svg" for t, _ in stack):
                 close()
-            end = _RAW[tag].search(page, at)
-            at = len(page) if end is None else page.find(">", end.end()) + 1 or len(page)
+            if tag in _NESTED:  # what is never closed is read on after its opening tag
+                if not (tag in _FOREIGN and rest.endswith("/")):
+                    if tag not in ends_of:
+                        ends_of[tag] = _ends_of(page, tag)
+                    at = max(at, ends_of[tag].get(m.start(), at))
+                continue
+            end = None if tag in unclosed else _RAW[tag].search(page, at)
+            if end is not None:
+                at = page.find(">", end.end()) + 1 or len(page)
+            elif tag == "script":
+                at = len(page)
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             say(" ")
@@ -482,7 +511,7 @@ def extract_main_text(pages: DataFrame, model: Labeller | None = None, html_: st
     """``keep`` and ``text`` string, the main text of the whole page; one row per row of ``pages``, without a shuffle.
 
     A null or empty page has an empty text. Malformed or cut-off markup is read as far as it goes: what an opening tag implies is closed, a cut-off
-    tag, comment or script ends with the page. Repeated rows come out alike; an empty table gives an empty result.
+    tag, comment or script ends with the page, and after any other element without a closing tag the text behind is read. Repeated rows come out alike; an empty table gives an empty result.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())  # of fixed size
     fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
