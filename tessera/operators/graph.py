@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import checkpointed
+from tessera.session import checkpointed
 
 
 def fan(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

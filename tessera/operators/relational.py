@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut through the reliable checkpoint folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The last row of each key by ``order``: an upsert log read as a table. Aggregates before the shuffle, so a hot key is one row a task."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import checkpointed
+from tessera.session import checkpointed
 
 # Files of set-up and configuration, and what a condition compares.
 SETUP = r"(?i)^(config.*|bootstrap.*|common|settings|init|setup.*)\.php(\.dist)?$"
