@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import posixpath
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_folder, checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the reliable checkpoint folder.
+__all__ = ["checkpoint_folder", "checkpointed", "components", "kept", "shared_folder", "shuffle_width"]
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that
-    is unset (tests) a temporary one is made.
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder, which driver and executors share; it goes when the application ends."""
+    path = posixpath.join(checkpoint_folder(spark), f"tessera-{uuid.uuid4().hex}")
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def kept(docs: DataFrame, keep: Sequence[str], outputs: Sequence[str]) -> tuple[Column, list[Column]]:
+    """The columns to keep as one struct ``__kept``, whose fields no other column clashes with, and what takes them out again.
+
+    A column whose name is among ``outputs`` comes out as kept_<name>.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    names = list(dict.fromkeys(keep))
+    taken, out = set(outputs) | set(names), []
+    for name in names:
+        new = name
+        if name in outputs:
+            new = f"kept_{name}"
+            while new in taken:
+                new = f"kept_{new}"
+            taken.add(new)
+        out.append(F.col("__kept").getField(name).alias(new))
+    whole = F.struct(*[docs[f"`{n}`"].alias(n) for n in names]) if names else F.struct(F.lit(True).alias("__none"))
+    return whole.alias("__kept"), out
 
 
 def shuffle_width(spark: SparkSession) -> int:
