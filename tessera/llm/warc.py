@@ -11,12 +11,12 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import checkpointed
 
@@ -24,8 +24,11 @@ from .shared import checkpointed
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: An archive is closed at so many compressed bytes or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 4096
-#: A dictionary of DICTIONARY_BYTES is trained on each archive's first SAMPLE payloads, up to their first SAMPLE_BYTES each.
-DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 10, 64, 8 << 10
+#: The dictionary of DICTIONARY_BYTES that all archives of a write begin with is trained on the SAMPLE records of SAMPLE_BYTES at most
+#: whose hash is least, and on as many made-up ones, so that there is one however little is written.
+DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 10, 256, 16 << 10
+#: What a record says of a page beside the standard headers.
+PAGE, REFERS, LENGTH = "X-Page-Id", "X-Refers-To-Page", "X-Payload-Length"
 
 
 def digest(payload: bytes) -> str:
@@ -36,76 +39,46 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, revisit: bool) -> bytes:
-    """The bytes of one response or revisit record."""
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
+    """The bytes of one response or revisit record; ids as text."""
     sha = digest(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 2020-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{sha}",
-        f"X-Payload-Length: {len(payload)}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if url is not None:
-        lines.insert(3, f"WARC-Target-URI: {_clean(url)}")
+    name = lambda page: f"<urn:page:{quote(page, safe='')}>"
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id or '')}"]
+    lines += [] if url is None else [f"WARC-Target-URI: {_clean(url)}"]
+    lines += ["WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", f"{LENGTH}: {len(payload)}"]
+    lines += [] if page_id is None else [f"{PAGE}: {quote(page_id, safe='')}"]
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+            lines += [f"WARC-Refers-To: {name(refers_to)}", f"{REFERS}: {quote(refers_to, safe='')}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archives(records: Iterator[bytes]) -> Iterator[bytes]:
-    """Archives of the records: dictionary frame, then a frame for each record."""
-
-    def begun(first: list[bytes]) -> tuple[list[bytes], zstandard.ZstdCompressor]:
-        samples = [x[:SAMPLE_BYTES] for x in first]
-        try:
-            if len(samples) < 8:
-                raise zstandard.ZstdError("too few")
-            words = zstandard.train_dictionary(DICTIONARY_BYTES, samples)
-        except zstandard.ZstdError:  # too little to train on: an archive without a dictionary is valid too
-            return [], zstandard.ZstdCompressor(level=3, write_checksum=True)
-        packed = zstandard.ZstdCompressor(level=9).compress(words.as_bytes())
-        return [struct.pack("<II", SKIPPABLE, len(packed)) + packed], zstandard.ZstdCompressor(
-            level=3, dict_data=words, write_checksum=True
-        )
-
-    waiting: list[bytes] = []
-    out: list[bytes] = []
-    coder, size, count = None, 0, 0
-
-    def add(x: bytes) -> None:
-        nonlocal size, count
-        frame = coder.compress(x)
-        out.append(frame)
-        size += len(frame)
-        count += 1
+def dictionary(sample: list[bytes]) -> bytes:
+    """A trained Zstandard dictionary for records like these."""
+    made_up = [
+        record(str(i), f"https://example.org/{i * 7919 % 1000}", f"<!DOCTYPE html><html><head><title>Page {i}</title></head><body><p>{i * 104729 % 9973}</p></body></html>".encode(), None, False)
+        for i in range(SAMPLE)
+    ]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, sample + made_up).as_bytes()
 
+
+def archives(records: Iterator[bytes], words: bytes) -> Iterator[bytes]:
+    """Archives of the records: a frame with the dictionary ``words``, then a frame for each record."""
+    packed = zstandard.ZstdCompressor(level=9).compress(words)
+    begin = struct.pack("<II", SKIPPABLE, len(packed)) + packed
+    coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True)
+    out, size = [begin], 0
     for x in records:
-        if coder is None:
-            waiting.append(x)
-            if len(waiting) < SAMPLE:
-                continue
-            out, coder = begun(waiting)
-            for y in waiting:
-                add(y)
-            waiting = []
-        else:
-            add(x)
-        if size >= ARCHIVE_BYTES or count >= ARCHIVE_RECORDS:
+        out.append(coder.compress(x))
+        size += len(out[-1])
+        if size >= ARCHIVE_BYTES or len(out) > ARCHIVE_RECORDS:
             yield b"".join(out)
-            out, coder, size, count = [], None, 0, 0
-    if waiting:
-        out, coder = begun(waiting)
-        for y in waiting:
-            add(y)
-    if out and count:
+            out, size = [begin], 0
+    if len(out) > 1:
         yield b"".join(out)
 
 
@@ -113,7 +86,7 @@ def frames(content: bytes) -> Iterator[bytes]:
     """The records of an archive, one per frame."""
     view, at, words = memoryview(content), 0, None
     while at < len(view):
-        if len(view) - at < 4:
+        if len(view) - at < 8:
             raise ValueError(f"trailing bytes at {at}")
         magic = struct.unpack_from("<I", view, at)[0]
         if 0x184D2A50 <= magic <= 0x184D2A5F:
@@ -129,6 +102,8 @@ def frames(content: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME:
             raise ValueError(f"no frame at {at}")
+        if len(view) - at < 9:
+            raise ValueError("a frame is cut off")
         decoder = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
         parts, step = [], 1 << 14
         while not decoder.eof:
@@ -141,8 +116,16 @@ def frames(content: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse(raw: bytes) -> dict:
-    """The fields of a record; ValueError where its headers or lengths don't hold."""
+#: Types of records that hold a page or refer to one; records of other types are checked and passed over.
+TYPES = ("response", "revisit")
+
+
+def parse(raw: bytes) -> dict | None:
+    """The fields of a response or revisit record, None for a sound record of another type; ValueError where headers or lengths don't hold.
+
+    A response that is an HTTP message has what follows its HTTP headers as payload, another one its whole block. A SHA-1 digest in base 32, a
+    stated payload length and the block's length are checked; a revisit takes its digest from its header, and its length if it states one.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap:
         raise ValueError("headers have no end")
@@ -150,41 +133,50 @@ def parse(raw: bytes) -> dict:
     if version not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError(f"version {version[:20]!r}")
     fields: dict[str, str] = {}
+    last = None
     for line in lines:
+        if line[:1] in (" ", "\t") and last:  # a header that goes on
+            fields[last] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise ValueError(f"header line {line[:40]!r}")
-        fields[name.lower()] = value.strip()
+        last = name.lower()
+        fields[last] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"no {name}")
     n = int(fields["content-length"])
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+    if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length {n}, but {len(rest) - 4} bytes")
+    kind = fields["warc-type"].lower()
+    if kind not in TYPES:
+        return None
+    block, is_http = rest[:n], fields.get("content-type", "").lower().startswith("application/http")
+    if is_http:
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if (block or kind == "response") and (not http.startswith(b"HTTP/") or not gap and kind == "response"):
+            raise ValueError("no HTTP headers")
+    else:
+        payload = block
+    named = lambda header: unquote(fields[header.lower()]) if header.lower() in fields else None
     out = {
-        "record_type": fields["warc-type"],
-        "record_id": fields["warc-record-id"].strip("<>"),
-        "url": fields.get("warc-target-uri"),
-        "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
-        "payload": None,
-    }
-    http, gap, payload = rest[:n].partition(b"\r\n\r\n")
-    if not gap or not http.startswith(b"HTTP/"):
-        raise ValueError("no HTTP headers")
+        "record_type": kind, "record_id": fields["warc-record-id"].strip("<>"), "url": fields.get("warc-target-uri", "").strip("<>") or None,
+        "refers_to_record": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None, "page_id": named(PAGE), "refers_to": named(REFERS), "payload": None,
+    }
     stated = fields.get("warc-payload-digest", "")
-    if out["record_type"] == "response":
-        if stated and stated != f"sha1:{digest(payload)}":
-            raise ValueError("the payload's digest differs")
-        if "x-payload-length" in fields and int(fields["x-payload-length"]) != len(payload):
-            raise ValueError("the payload's length differs")
-        out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload)}
-    elif out["record_type"] == "revisit":
-        if not stated.startswith("sha1:") or len(stated) != 37 or payload:
+    algorithm, _, value = stated.partition(":")
+    sha1 = value.upper() if algorithm.lower() == "sha1" and len(value) == 32 else None
+    length = int(fields[LENGTH.lower()]) if LENGTH.lower() in fields else None
+    if kind == "revisit":
+        if not stated or is_http and payload:
             raise ValueError("a revisit needs a digest and has no payload")
-        out |= {"payload_bytes": int(fields["x-payload-length"]), "payload_digest": stated[5:]}
-    else:
-        raise ValueError(f"type {out['record_type'][:20]!r}")
-    return out
+        return out | {"payload_bytes": length, "payload_digest": sha1 or stated}
+    if sha1 and sha1 != digest(payload):
+        raise ValueError("the payload's digest differs")
+    if length is not None and length != len(payload):
+        raise ValueError("the payload's length differs")
+    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload)}
 
 
 def write_archives(pages: DataFrame, path: str, smallest: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -192,9 +184,10 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, page_id: str
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of ``smallest`` bytes or
     more, one with the largest page_id (nulls least) is the response, the others revisit it. Of
-    repeated rows of that page_id one is the response. An empty table writes no archive.
+    repeated rows of that page_id one is the response. An empty table writes no archive. Ids are of any type that has an order and a text;
+    they are compared as they are and written as text.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= smallest
     per_id = rows.where(large).groupBy("sha", "page_id").agg(F.count("*").alias("n"))
@@ -209,13 +202,16 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, page_id: str
     joined = rows.join(some, "sha", "left")
     joined = joined.withColumn("revisit", F.col("again").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("response")))
 
+    likely = rows.where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("sha", "url"), "sha").select("url", "html").limit(SAMPLE)
+    shared = rows.sparkSession.sparkContext.broadcast(dictionary([record("0", r["url"], r["html"].encode(), None, False) for r in likely.collect()]))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[bytes]:
             for batch in batches:
                 for r in batch.to_pylist():
                     yield record(r["page_id"], r["url"], r["html"].encode(), r["response"] if r["revisit"] else None, r["revisit"])
 
-        for content in archives(every()):
+        for content in archives(every(), shared.value):
             yield pa.RecordBatch.from_pydict({"archive": [f"{hashlib.sha1(content).hexdigest()}.warc.zst"], "content": pa.array([content], pa.binary())})
 
     columns = ["page_id", "url", "html", "response", "revisit"]
@@ -227,32 +223,27 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, page_id: str
         others = tied.join(first.select("sha", F.col("url").alias("kept")), "sha").withColumn("n", F.col("n") - F.col("url").eqNullSafe(F.col("kept")).cast("int"))
         others = others.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("revisit", F.lit(True))
         every = joined.where(~tie).select(columns).union(first.select(columns)).union(others.select(columns))
+    every = every.withColumns({c: F.col(c).cast("string") for c in ("page_id", "response")})
     every.mapInArrow(pack, "archive string, content binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 
-#: What ``read_archives`` returns.
-RECORD = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload", T.BinaryType()),
-        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()),
-        T.StructField("refers_to", T.LongType()), T.StructField("error", T.StringType()),
-    ]
-)
+#: What ``read_archives`` returns; ids of pages are of the type asked for.
+RECORD = ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "error")
+_TYPES = {"payload": pa.binary(), "payload_bytes": pa.int64()}
 
 
-def read_archives(archives_: DataFrame, content: str = "content", payload: bool = True) -> DataFrame:
-    """A row (see ``RECORD``) per record of archives in a binary column, as of ``write_archives`` or ``binaryFile``.
+def read_archives(archives_: DataFrame, content: str = "content", payload: bool = True, id_type: str = "long") -> DataFrame:
+    """A row (see ``RECORD``) per response and revisit record of archives in a binary column, as of ``write_archives`` or ``binaryFile``.
 
     ``error`` is null for a sound record; a record whose headers, lengths or digest don't hold gives a row with only
-    the error, and so does an archive that can't be read on. A null or empty archive has no records. ``payload`` false leaves
-    the payloads out once they have been checked.
+    the error, and so does an archive that can't be read on. Records of other types are checked and passed over. ``record_id`` and ``refers_to_record`` are
+    the standard headers; ``page_id`` and ``refers_to`` are null for archives that don't say them, or in another type than ``id_type``. A
+    null or empty archive has no records. ``payload`` false leaves the payloads out once they have been checked.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {f.name: t for f, t in zip(RECORD, (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)}
-
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], t) for n, t in types.items()})
+            return pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], _TYPES.get(n, pa.string())) for n in RECORD})
 
         rows: list[dict] = []
         size = 0
@@ -262,12 +253,11 @@ def read_archives(archives_: DataFrame, content: str = "content", payload: bool
                     for raw in frames(content_.as_py() or b""):
                         try:
                             r = parse(raw)
-                            page = r.pop("record_id").removeprefix("urn:page:")
-                            refers = (r["refers_to"] or "").removeprefix("urn:page:")
-                            r |= {"page_id": int(page) if page else None, "refers_to": int(refers) if refers else None}
+                            if r is None:
+                                continue
                             if not payload:
                                 r["payload"] = None
-                        except (ValueError, UnicodeDecodeError, KeyError) as e:
+                        except (ValueError, UnicodeDecodeError) as e:
                             r = {"error": str(e)}
                         rows.append(r)
                         size += len(r.get("payload") or b"")
@@ -279,4 +269,6 @@ def read_archives(archives_: DataFrame, content: str = "content", payload: bool
         if rows:
             yield batch_of(rows)
 
-    return archives_.select(content).mapInArrow(unpack, RECORD)
+    schema = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if n == 'payload_bytes' else 'string'}" for n in RECORD)
+    found = archives_.select(content).mapInArrow(unpack, schema)
+    return found.withColumns({c: F.col(c).try_cast(id_type) for c in ("page_id", "refers_to")})
