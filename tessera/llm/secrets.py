@@ -9,8 +9,11 @@ complement them are near, which an interval join over bins of each document find
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import checkpointed, kept
+
 # Fixed patterns of the base kinds. Runs of one class are maximal, so their least length is in the pattern.
 KEYS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 ASSIGN = f"""({KEYS})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +27,8 @@ ENDPOINT = """[a-z][a-z0-9+]*://[A-Za-z0-9.:_/@%?&=~-]+"""
 #: Kinds in the order of the result, and the role each plays for the others.
 KINDS = {"assign": "secret", "access": "login", "hex": "secret", "login": "login", "loose": "secret", "endpoint": "endpoint"}
 BASE = ("assign", "access", "hex")
+#: Spans of up to so many rows, and four times as many spans of 12 bytes, are broadcast to the rows to keep; beyond, both are joined by a shuffle.
+_BROADCAST_ROWS = 200_000
 
 
 def _found(text: Column, pattern: str, group: int, least: int, may: Column) -> Column:
@@ -52,64 +57,65 @@ def _found(text: Column, pattern: str, group: int, least: int, may: Column) -> C
     return F.when(may, spans).otherwise(none)
 
 
-def _apart(spans: Column, others: list[Column]) -> Column:
-    """``spans`` that overlap none of the others."""
+def _alone(parts: DataFrame) -> DataFrame:
+    """``parts`` (rows of __key, start, kind, stop) without weak ones that a stronger one overlaps.
+
+    Base spans are stronger than weak ones, logins and endpoints than loose tokens. A span is overlapped if one that begins earlier ends after its
+    begin or one that begins later begins before its end: two running extremes over the spans of a text in order.
+    """
+    ahead = W.partitionBy("__key").orderBy("start", "kind", "stop").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("__key").orderBy(F.desc("start"), F.desc("kind"), F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)
+    base = F.col("kind") < len(BASE)
 
-    def clear_of(other: Column):
-        return lambda s: ~F.exists(other, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))
+    def overlapped(by: Column) -> Column:
+        return F.coalesce(F.max(F.when(by, F.col("stop"))).over(ahead) > F.col("start"), F.lit(False)) | F.coalesce(
+            F.min(F.when(by, F.col("start"))).over(behind) < F.col("stop"), F.lit(False)
+        )
 
-    for other in others:
-        spans = F.filter(spans, clear_of(other))
-    return spans
+    loose = F.col("kind") == list(KINDS).index("loose")
+    marked = parts.withColumns({"by_base": overlapped(base), "by_any": overlapped(~loose)})
+    return marked.where(base | F.when(loose, ~F.col("by_any")).otherwise(~F.col("by_base"))).drop("by_base", "by_any")
 
 
 def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``spans`` array<struct<start, kind, stop>>, and ``keep``.
 
     Spans of the whole text (null: empty) in code points, end exclusive, by start and kind: 0 assign, 1 access, 2 hex are always
-    reported. A weak part (3 login, 4 loose token with letters and digits, 5 endpoint) overlaps no base span and is reported only if the
-    parts that complement it are within ``reach`` characters of its start: a secret for a login, a login
+    reported. A weak part (3 login, 4 loose token with letters and digits, 5 endpoint) overlaps no base span, a loose one no other part either; it is reported only
+    if the parts that complement it are within ``reach`` characters of its start: a secret for a login, a login
     for a loose token, both for an endpoint. Base spans count as parts. Parts of one document meet bin by bin, so
     a very long document is not paired with itself. Repeated rows give equal rows; a null doc_id is kept.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A kept column named doc_id or spans comes out as kept_doc_id or kept_spans.
+
+    The patterns run once; what they find, without the texts, is written down and joined with the rows to keep at the end.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.col(doc_id).alias("doc_id"), *keep, body.alias("__text")).withColumn("__hash", F.xxhash64("__text"))
+    whole, out = kept(docs, keep, ("doc_id", "spans"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("__text"), F.xxhash64(F.col(doc_id), body).alias("__row"), whole)
     body = F.col("__text")
     sets = F.contains(body, F.lit("=")) | F.contains(body, F.lit(":"))
-    own = own.withColumns(
-        {
-            "__assign": _found(body, ASSIGN, 2, 6, sets & body.rlike(ASSIGN)),
-            "__access": _found(body, ACCESS, 0, 20, F.contains(body, F.lit("AKIA"))),
-            "__hex": _found(body, HEX, 0, 24, body.rlike(HEX)),
-            "__login": _found(body, LOGIN, 1, 3, sets & body.rlike(LOGIN)),
-            "__loose": _found(body, LOOSE, 0, 20, body.rlike(LOOSE)),
-            "__endpoint": _found(body, ENDPOINT, 0, 8, F.contains(body, F.lit("://"))),
-        }
-    )
-    base = [F.col(f"__{k}") for k in BASE]
-    mixed = F.filter(  # a loose token has letters and digits
-        F.col("__loose"),
-        lambda s: F.substring(body, s["start"] + 1, s["stop"] - s["start"]).rlike("[0-9]")
-        & F.substring(body, s["start"] + 1, s["stop"] - s["start"]).rlike("[A-Za-z]"),
-    )
-    own = own.withColumns({"__loose": _apart(mixed, [*base, F.col("__endpoint"), F.col("__login")]), "__login": _apart(F.col("__login"), base)})
-    own = own.withColumn("__endpoint", _apart(F.col("__endpoint"), base))
+    found = {
+        "assign": _found(body, ASSIGN, 2, 6, sets & body.rlike(ASSIGN)), "access": _found(body, ACCESS, 0, 20, F.contains(body, F.lit("AKIA"))),
+        "hex": _found(body, HEX, 0, 24, body.rlike(HEX)), "login": _found(body, LOGIN, 1, 3, sets & body.rlike(LOGIN)),
+        "loose": _found(body, LOOSE, 0, 20, body.rlike(LOOSE)), "endpoint": _found(body, ENDPOINT, 0, 8, F.contains(body, F.lit("://"))),
+    }
+    own = rows.select("doc_id", "__row", "__text", *[v.alias(f"__{k}") for k, v in found.items()])
+    part = lambda s: F.substring(body, s["start"] + 1, s["stop"] - s["start"])
+    mixed = F.filter("__loose", lambda s: part(s).rlike("[0-9]") & part(s).rlike("[A-Za-z]"))  # a loose token has letters and digits
     kinds = list(KINDS)
 
     def of_kind(i: int):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["stop"].alias("stop"))
 
-    def tagged(names) -> Column:
-        return F.sort_array(F.concat(*[F.transform(f"__{k}", of_kind(kinds.index(k))) for k in names]))
+    def tagged(names, **other: Column) -> Column:
+        return F.concat(*[F.transform(other.get(k, F.col(f"__{k}")), of_kind(kinds.index(k))) for k in names])
 
-    own = own.select("doc_id", *keep, "__hash", tagged(BASE).alias("__base"), tagged(kinds).alias("__parts"))
+    own = checkpointed(own.select("doc_id", "__row", F.sort_array(tagged(BASE)).alias("__base"), tagged(kinds[len(BASE) :], loose=mixed).alias("__weak")))
 
     # Interval join: the start of a weak part against the other parts' reach, bin by bin.
-    parts = (
-        own.where(F.size("__parts") > F.size("__base")).select("doc_id", "__hash", "__parts").distinct()
-        .select("doc_id", "__hash", F.explode("__parts").alias("p")).select("doc_id", "__hash", "p.*")
-    )
+    key = F.struct("doc_id", "__row").alias("__key")
+    parts = own.where(F.size("__weak") > 0).select(key, F.concat("__base", "__weak").alias("__parts")).distinct()
+    parts = _alone(parts.select("__key", F.inline("__parts")))
     role = F.lit(None)
     for i, k in enumerate(kinds):
         role = F.when(F.col("kind") == i, F.lit(KINDS[k])).otherwise(role)
@@ -119,25 +125,35 @@ def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
     met = (
         weak.join(
             near,
-            F.col("w.doc_id").eqNullSafe(F.col("n.doc_id"))
-            & (F.col("w.__hash") == F.col("n.__hash"))
-            & (F.col("w.bin") == F.col("n.bin"))
-            & F.col("w.start").between(F.col("n.start") - reach, F.col("n.stop") + reach),
+            F.col("w.__key").eqNullSafe(F.col("n.__key")) & (F.col("w.bin") == F.col("n.bin")) & F.col("w.start").between(F.col("n.start") - reach, F.col("n.stop") + reach),
         )
-        .groupBy("w.doc_id", "w.__hash", "w.start", "w.kind", "w.stop")
+        .groupBy("w.__key", "w.start", "w.kind", "w.stop")
         .agg(F.bool_or(F.col("n.role") == "login").alias("login"), F.bool_or(F.col("n.role") == "secret").alias("secret"))
         .where(
             F.when(F.col("kind") == kinds.index("login"), F.col("secret"))
             .when(F.col("kind") == kinds.index("loose"), F.col("login"))
             .otherwise(F.col("login") & F.col("secret"))
         )
-        .groupBy("doc_id", "__hash")
-        .agg(F.collect_list(F.struct("start", "kind", "stop")).alias("__weak"))
+        .groupBy("__key")
+        .agg(F.collect_list(F.struct("start", "kind", "stop")).alias("__linked"))
+        .select(F.col("__key.doc_id").alias("doc_id"), F.col("__key.__row").alias("__row"), "__linked")
     )
-    o, m = own.alias("o"), met.alias("m")
-    both = o.join(m, F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.__hash") == F.col("m.__hash")), "left")
-    spans = F.when(F.col("m.__weak").isNull(), F.col("o.__base")).otherwise(F.sort_array(F.concat("o.__base", "m.__weak")))
-    return both.select("o.doc_id", *[f"o.{c}" for c in keep], spans.alias("spans"))
+
+    def same(a: str, b: str) -> Column:
+        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.__row") == F.col(f"{b}.__row"))
+
+    both = own.alias("o").join(met.alias("m"), same("o", "m"), "left")
+    spans = F.when(F.col("m.__linked").isNull(), F.col("o.__base")).otherwise(F.sort_array(F.concat("o.__base", "m.__linked")))
+    both = both.select("o.doc_id", "o.__row", spans.alias("spans"))
+    if not keep:
+        return both
+    some = checkpointed(both.where(F.size("spans") > 0).distinct())
+    n_rows, n_spans = some.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if n_rows <= _BROADCAST_ROWS and n_spans <= 4 * _BROADCAST_ROWS:
+        some = F.broadcast(some)
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
+    joined = rows.select("doc_id", "__row", "__kept").alias("d").join(some.alias("s"), same("d", "s"), "left")
+    return joined.select("d.doc_id", "d.__kept", F.coalesce("s.spans", none).alias("spans")).select("doc_id", *out, "spans")
 
 
 def spans_text(spans: Column) -> Column:
