@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, shuffle_width
+from .shared import checkpointed, kept, shuffle_width
 
 #: A weight schedule: (training time from 0 to 1, weight) knots, linear in between.
 Schedule = Sequence[tuple[float, float]]
@@ -17,6 +17,7 @@ Schedule = Sequence[tuple[float, float]]
 _PER_RUN = 4_000
 
 WORD = r"[^\x20\x09-\x0D]+"
+OUTPUTS = ("doc_id", "source", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 def _area(schedule: Schedule) -> float:
@@ -61,22 +62,24 @@ def mix_sources(
     last, get the schedules in turn, repeating; a source's weight is the integral of its schedule. The
     mix has ``share`` times all words; a source's target stops at ``most_passes`` times its size and
     the excess goes to the others by weight. In a source, documents come in the order of the MD5 of
-    their id; a pass takes them one after another until the target, so the last one may be taken
+    their id and their text's MD5, which also tells apart many rows that share an id or have none; a pass takes them one after another until the target, so the last one may be taken
     in part. ``position`` is the training time (0 to 1) at which the cumulative demand for the source
     reaches the document's first word, ``last_position`` that of its last pass; both are null for documents
     that are not taken. Rows come range-partitioned and sorted by position.
 
     Nulls: a null source is a source of its own; a null doc_id is ordered as an empty string; a null
-    or wordless text has size 0 and takes 0. Repeated rows are separate documents. Where
-    all texts are empty, targets are 0. An empty table gives an empty result.
+    or wordless text has size 0 and takes 0. Repeated rows are separate documents, in any order among themselves. Where
+    all texts are empty, targets are 0. An empty table gives an empty result. A kept column that is named like one of these comes out as kept_<name>.
     """
     spark = docs.sparkSession
+    whole, kept_out = kept(docs, keep, OUTPUTS)
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        *[c for c in keep if c not in ("doc_id", "source")],
+        whole,
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary")).alias("key"),
     )
     narrow = checkpointed(rows) if not keep else rows
     # A source's order is cut into runs by the leading hexadecimal digits of the key: as many as its rows ask for.
@@ -144,8 +147,7 @@ def mix_sources(
         return F.when(F.col("taken") > 0, at)
 
     out = placed.select(
-        "doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")], "size", "source_size", "target", "taken",
-        position("start").alias("position"), position("last_start").alias("last_position"),
+        "doc_id", "source", "size", "source_size", "target", "taken", position("start").alias("position"), position("last_start").alias("last_position"), *kept_out,
     )
     return out.repartitionByRange(shuffle_width(spark), F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(
         F.col("position").asc_nulls_last(), "doc_id"
