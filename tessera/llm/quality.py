@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
 from .words import _BASE, SPACED, Words, buffers, mix, slices, words
 
 #: Labelled rows that training takes at most: those whose MD5 of the doc_id is least, whatever the size of the tables.
@@ -161,18 +162,17 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: st
     """doc_id, score double (0 to 1, higher is better), and ``keep``, one row per row of ``docs``.
 
     The whole text is scored, in one pass without a shuffle. A null or empty text has the model's bias as its score;
-    repeated rows score alike; an empty table gives an empty result.
+    repeated rows score alike; an empty table gives an empty result. A kept column named doc_id or score comes out as kept_doc_id or kept_score.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2**BITS weights of 4 bytes
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in dict.fromkeys([doc_id, *keep]))
-    extra = () if text in (doc_id, *keep) else (text,)
-    rows = docs.select(*dict.fromkeys([doc_id, *keep, *extra]))
+    whole, out = kept(docs, keep, ("doc_id", "score"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), whole)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = sent.value.score(batch.column(text).cast(pa.string()))
-            columns = {c: batch.column(c) for c in dict.fromkeys([doc_id, *keep])}
-            yield pa.RecordBatch.from_pydict(columns | {"__score": pa.array(score, pa.float64())})
+            score = pa.array(sent.value.score(batch.column("__text")), pa.float64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": score, "__kept": batch.column("__kept")})
 
-    return rows.mapInArrow(scored, f"{fields}, __score double").withColumnRenamed("__score", "score")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(scored, f"doc_id {types['doc_id']}, score double, __kept {types['__kept']}").select("doc_id", "score", *out)

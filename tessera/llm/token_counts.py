@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
 from .words import ALNUM, buffers, slices, words
 
 #: Bytes that begin no word by themselves and are no white space: each is a word of its own.
@@ -122,15 +123,17 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: s
     A word is a run of ASCII letters, digits and characters beyond ASCII, A-Z in lower case, or any other single
     character that is not white space. Each word is greedily cut into the longest pieces of the vocabulary; one that can't be is
     one token. A null or empty text has none. Repeated rows count alike; an empty table gives an empty
-    result. ``vocabulary`` is read on the driver and sent out once: its size is that of the file.
+    result. ``vocabulary`` is read on the driver; the automaton is built there and sent out once: its size goes with the file's. A
+    kept column that is named like one of these comes out as kept_<name>.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))
-    names = list(dict.fromkeys([doc_id, *keep]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    rows = docs.select(*names, F.col(text).cast("string").alias("__text"))
+    sent = docs.sparkSession.sparkContext.broadcast(LongestMatch(*load_pieces(vocabulary)))
+    whole, out = kept(docs, keep, ("doc_id", "n_words", "n_tokens"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), whole)
+    names = ["doc_id", "__kept"]
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LongestMatch(*sent.value)
+        automaton = sent.value
         known: dict[int, int] = {}
         marks = np.array([automaton.count(bytes([b])) for b in range(256)])
         for batch in batches:
@@ -155,4 +158,4 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: s
                 columns = {c: batch.column(c)[a:b] for c in names}
                 yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n_words, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
 
-    return rows.mapInArrow(counted, f"{fields}, n_words long, n_tokens long")
+    return rows.mapInArrow(counted, f"{fields}, n_words long, n_tokens long").select("doc_id", "n_words", "n_tokens", *out)
