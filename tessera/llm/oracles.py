@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from .fingerprint import PARAGRAPH
-from .queries import CURRICULUM
+from .fingerprint import HEAD, PARAGRAPH, SMALL
+from .queries import CURRICULUM, VOCABULARY
 from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, LOGIN, LOOSE
 
 ORACLES: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED = r"'[^\x20\x09-\x0D]+'"
+PIECES = r"'[0-9a-z\x{80}-\x{10FFFF}]+|[^\x20\x09-\x0D]'"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
@@ -19,12 +20,17 @@ def _literal(s: str) -> str:
 
 # Positions: of constant-sum curricula (one segment a source), by the quadratic's root.
 _slopes = [(s[0][1], s[-1][1]) for s in CURRICULUM]
-_position = "case rank % 3 " + " ".join(
-    f"when {i} then case when s * {(a + b) / 2} > 0 then 2 * s * {(a + b) / 2} / ({float(a)} + sqrt({float(a * a)} + {float(2 * (b - a))} * s * {(a + b) / 2})) else 0.0 end" for i, (a, b) in enumerate(_slopes)
-) + " end"
+
+
+def _position(s: str) -> str:
+    roots = " ".join(
+        f"when {i} then case when {s} * {(a + b) / 2} > 0 then 2 * {s} * {(a + b) / 2} / ({float(a)} + sqrt({float(a * a)} + {float(2 * (b - a))} * {s} * {(a + b) / 2})) else 0.0 end" for i, (a, b) in enumerate(_slopes)
+    )
+    return f"case rank % 3 {roots} end"
+
 
 ORACLES["op1_mix_sources"] = f"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {SPACED})), 0)::bigint size from documents),
+with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) key, coalesce(len(regexp_extract_all(text, {SPACED})), 0)::bigint size from documents),
 s as (select source, sum(size)::bigint source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 rank from s),
 w as (select *, case rank % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end weight, (source_size * 2)::bigint cap from r),
@@ -32,10 +38,11 @@ l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over
   / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) lvl from w),
 m as (select arg_min(lvl, struct_pack(a := cap / weight, b := rank)) filter (where lvl <= cap / weight) water from l),
 t as (select source, source_size, rank, least(cap::double, coalesce(water, 'inf'::double) * weight) target from l, m),
-o as (select d.*, source_size, target, rank, coalesce(sum(size) over (partition by d.source order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start
+o as (select d.*, source_size, target, rank, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start
   from d join t on d.source is not distinct from t.source),
-k as (select *, (greatest(least(round(target)::bigint - start, size), 0) + greatest(least(round(target)::bigint - start - source_size, size), 0))::bigint taken, start / greatest(target, 1.0) s from o)
-select doc_id, size, source_size, target, taken, round(case when taken > 0 then {_position} end, 9) as position from k
+k as (select *, (greatest(least(round(target)::bigint - start, size), 0) + greatest(least(round(target)::bigint - start - source_size, size), 0))::bigint taken, start / greatest(target, 1.0) s,
+  case when size = 0 then null when round(target)::bigint > start + source_size then start + source_size when round(target)::bigint > start then start end / greatest(target, 1.0) s2 from o)
+select doc_id, size, source_size, target, taken, round(case when taken > 0 then {_position('s')} end, 9) as position, round(case when taken > 0 then {_position('s2')} end, 9) as last_position from k
 """
 
 _base32 = (
@@ -61,14 +68,26 @@ r(doc_id, root) as (select doc_id, doc_id from documents union select e2.y, r.ro
 select doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(root) component_id from r left join n using (doc_id) group by doc_id
 """
 
-_pieces = lambda t: f"list_distinct(list_transform(list_filter(regexp_extract_all({t}, {_literal(PARAGRAPH.replace('+[', '[').replace('*+', '*').replace('}+', '}'))}), lambda p: p <> ''), lambda p: ('0x' || substr(md5(p), 1, 15))::bigint))"
-_like = lambda b: f"case when len(a) + len({b}) = 0 then 1.0::double when list_sort(a) = list_sort({b}) then 1.0::double else 1.0::double - (len(a) + len({b}) - 2 * len(list_intersect(a, {b})))::int / (len(a) + len({b}))::double end"
-# The sketch's text depends on a hash that DuckDB lacks; the rest is compared.
-FINGERPRINT_FIGURES = f"""
-with o as (select doc_id, coalesce(text, '') text, coalesce(lead(coalesce(text, '')) over (order by doc_id), first(coalesce(text, '')) over (order by doc_id)) next from documents),
+_cut = lambda t, p: f"regexp_extract_all({t}, {_literal(p.replace('+[', '[').replace('*+', '*').replace('}+', '}'))})"
+_pieces = lambda t: f"list_distinct(list_transform(list_filter(list_concat({_cut(f'substr({t}, 1, {HEAD})', SMALL)}, {_cut(f'substr({t}, {HEAD + 1})', PARAGRAPH)}), lambda p: p <> ''), lambda p: ('0x' || substr(md5(p), 1, 15))::bigint))"
+_like = lambda b: f"case when len(a) + len({b}) = 0 then 1.0::double else 1.0::double - (len(a) + len({b}) - 2 * len(list_intersect(a, {b})))::int / (len(a) + len({b}))::double end"
+# Sketches are told apart by their digests; of each, sizes are tried by taking digests off that have a cell of their own, round by round, until none is left.
+ORACLES["op4_fingerprints"] = f"""
+with recursive o as (select doc_id, row_number() over () rid, coalesce(text, '') text, coalesce(lead(coalesce(text, '')) over w, first(coalesce(text, '')) over w) next from documents window w as (order by doc_id rows between unbounded preceding and unbounded following)),
 e as (select *, length(text)::bigint n_chars, substr(text, 1, length(text) - length(text) // 4) || substr(next, 1, length(text) // 4) edited from o),
-p as (select doc_id, n_chars, sha256(edited) edited_sha256, {_pieces('text')} a, {_pieces('edited')} e, {_pieces('next')} x from e)
-select doc_id, n_chars, edited_sha256, {_like('e')} near_edited, {_like('x')} near_next from p
+p as materialized (select rid, doc_id, n_chars, sha256(edited) edited_sha256, {_pieces('text')} a, {_pieces('edited')} e, {_pieces('next')} x from e),
+k as (select rid, side, len(l) n, l from (select rid, 'a' side, a l from p union all select rid, 'e', e from p) where len(l) > 0),
+s as (select *, greatest(4, 1 << length(bin(((2 * n + 8) // 3)::int - 1)))::bigint m0 from k),
+c as (select rid, side, (m0 << t) m, unnest(l) d from s, (select unnest(range(0, 6)) t)),
+r(rid, side, m, d, round) as (select rid, side, m, d, 0 from c
+  union all select rid, side, m, d, round + 1 from (select *, count(*) over (partition by rid, side, m, (d >> 3) % m) c0, count(*) over (partition by rid, side, m, (d >> 20) % m) c1, count(*) over (partition by rid, side, m, (d >> 37) % m) c2 from r)
+    where c0 > 1 and c1 > 1 and c2 > 1 and round < 30),
+stuck as (select distinct rid, side, m from r where round = 30),
+z as (select rid, side, min(m) m from (select distinct rid, side, m from c) anti join stuck using (rid, side, m) group by all),
+f as (select rid, side, m, row * m + (d >> (row * 17 + 3)) % m i, count(*) n, bit_xor(d) x, bit_xor((d % 65521) * (d % 65519) % 65536) c from c join z using (rid, side, m), (select unnest(range(0, 3)) row) group by all),
+g as (select rid, side, any_value(m) || ':' || string_agg(concat_ws('.', i, n, format('{{:x}}', x), format('{{:x}}', c)), '-' order by i) fingerprint from f group by all)
+select doc_id, n_chars, edited_sha256, coalesce(ga.fingerprint, '') fingerprint, coalesce(ge.fingerprint, '') edited_fingerprint, {_like('e')} near_edited, {_like('x')} near_next
+from p left join g ga on ga.rid = p.rid and ga.side = 'a' left join g ge on ge.rid = p.rid and ge.side = 'e'
 """
 
 ORACLES["op7_winnowing"] = f"""
@@ -107,18 +126,44 @@ from d left join t using (rid)
 """
 
 ORACLES["op6_quotations"] = r"""
-with recursive m as (select conv_id, turn, role, text, row_number() over () rid, string_split_regex(coalesce(text, ''), '\r?\n') ls from conversations),
-l as (select rid, conv_id, turn, i, length(regexp_replace(regexp_extract(ls[i], '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) level, regexp_replace(ls[i], '^[ \t]*(?:>[ \t]?)+', '') body,
-  regexp_matches(ls[i], '^.{0,200}(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$') announces from (select *, unnest(range(1, len(ls) + 1)) i from m)),
-n as (select *, trim(regexp_replace(lower(body), '[^\pL\pN]+', ' ', 'g')) line, coalesce(lead(level) over (partition by rid order by i), 0) > 0 ahead from l),
-kept as (select * from n where level = 0 and not (announces and ahead)),
-reply as (select rid, regexp_replace(string_agg(body, chr(10) order by i), '^\s+|\s+$', '', 'g') reply from kept group by rid),
-said as (select conv_id, line, min(turn) source from kept where line <> '' and turn is not null group by all),
-q as (select n.conv_id, n.turn, level, source from n left join said on n.conv_id is not distinct from said.conv_id and n.line = said.line and source < n.turn where level > 0 and n.line <> '' and n.turn is not null),
+with recursive m as (select conv_id, turn, role, text, row_number() over () rid, string_split_regex(translate(coalesce(text, ''), chr(1) || chr(2), '  '), '\r?\n') ls from conversations),
+l as (select rid, conv_id, turn, i, length(regexp_replace(regexp_extract(ls[i], '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) level, regexp_replace(ls[i], '^[ \t]*(?:>[ \t]?)+', '') body
+  from (select *, unnest(range(1, len(ls) + 1)) i from m)),
+a as (select * replace (case when level = 0 and regexp_matches(body, '(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*$') and coalesce(lead(level) over (partition by rid order by i), 0) > 0 then -1 else level end as level) from l),
+b as (select *, case when lag(level) over w = level and not regexp_matches(body, '^[ \t]*$') then 0 else 1 end begins from a window w as (partition by rid order by i)),
+n as (select *, sum(begins) over (partition by rid order by i) run from b),
+p as (select rid, conv_id, turn, run, any_value(level) level, string_agg(body, chr(10) order by i) body from n group by all),
+pc as (select rid, conv_id, turn, run, level, unnest(list_distinct(list_filter(list_transform(list_concat(string_split(body, chr(10)), string_split_regex(replace(body, chr(10), ' '), '[.!?]+[ \t\n\r\f]+')),
+  lambda x: trim(regexp_replace(lower(x), '[^\pL\pN]+', ' ', 'g'))), lambda x: x <> ''))) piece from p),
+reply as (select rid, regexp_replace(string_agg(body, chr(10) order by i) filter (where level = 0), '^\s+|\s+$', '', 'g') reply from a group by rid),
+said as (select conv_id, piece, min(turn) source from pc where level = 0 and turn is not null group by all),
+q as (select pc.rid, pc.conv_id, pc.turn, run, level, max(case when source is not null then struct_pack(size := length(pc.piece), source := source) end).source source
+  from pc left join said on pc.conv_id is not distinct from said.conv_id and pc.piece = said.piece and source < pc.turn where level > 0 and pc.turn is not null group by all),
 o as (select conv_id, turn, max(source) filter (where level = 1) parent, count(*) n_quoted, count(source) n_linked, max(level) max_level from q group by all),
 r as (select conv_id, turn, parent root, case when parent is null then 0 else 1 end depth from o
   union all select r.conv_id, r.turn, o.parent, depth + 1 from r join o on r.conv_id is not distinct from o.conv_id and r.root = o.turn where o.parent is not null),
-t as (select conv_id, turn, arg_max(root, depth) root, max(depth) depth from r group by all)
-select m.conv_id, m.turn, m.role, coalesce(reply, '') reply, parent, coalesce(t.root, m.turn) root, coalesce(t.depth, 0)::int depth, coalesce(n_quoted, 0)::bigint n_quoted, coalesce(n_linked, 0)::bigint n_linked, coalesce(max_level, 0)::int max_level
-from m left join reply using (rid) left join o on m.conv_id is not distinct from o.conv_id and m.turn = o.turn left join t on m.conv_id is not distinct from t.conv_id and m.turn = t.turn
+t as (select conv_id, turn, arg_max(root, depth) root, max(depth) depth from r group by all),
+e as (select m.conv_id, m.turn, m.role, coalesce(reply, '') reply, parent, coalesce(t.root, m.turn) root, coalesce(t.depth, 0)::int depth, coalesce(n_quoted, 0)::bigint n_quoted, coalesce(n_linked, 0)::bigint n_linked, coalesce(max_level, 0)::int max_level
+  from m left join reply using (rid) left join o on m.conv_id is not distinct from o.conv_id and m.turn = o.turn left join t on m.conv_id is not distinct from t.conv_id and m.turn = t.turn)
+select *, row_number() over (order by conv_id nulls first, root nulls first, turn nulls first, role nulls first, reply) - 1 as position from e
+"""
+
+# Pieces and words in hexadecimal; a word is followed from piece to piece, of which the longest that fits is taken at each place.
+_hex_lower = "list_aggregate(list_transform(range(1, length(h) // 2 + 1), lambda i: case when substr(h, 2 * i - 1, 2) between '41' and '5A' then chr(ascii(substr(h, 2 * i - 1, 1)) + 2) || substr(h, 2 * i, 1) else substr(h, 2 * i - 1, 2) end), 'string_agg', '')"
+_fits = "(length(h) = 2 or regexp_matches(h, '^(?:3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|[89A-F][0-9A-F])+$'))"
+ORACLES["op10_token_counts"] = f"""
+with recursive v as (select hex(from_base64(split_part(column0, ' ', 1))) h from read_csv('{VOCABULARY}', header = false, delim = chr(9), quote = '', escape = '', columns = {{'column0': 'varchar'}})),
+rest as (select distinct {_hex_lower} h from v where h <> '' and {_fits}),
+first as (select h from rest union select distinct {_hex_lower} h from (select substr(h, 3) h from v where starts_with(h, '20')) where h <> '' and {_fits}),
+size as (select max(length(h)) // 2 m from first),
+d as (select doc_id, row_number() over () rid, regexp_extract_all({_lowered}, {PIECES}) ws from documents),
+g as (select rid, unnest(ws) w from d),
+w as (select w, hex(encode(w)) h from (select distinct w from g)),
+s as (select w, h, unnest(range(0, length(h) // 2)) p from w),
+c as (select w, p, unnest(range(1, least(m, length(h) // 2 - p) + 1)) n, h from s, size),
+j as (select w, p, max(n) n from (select w, p, n, substr(h, 2 * p + 1, 2 * n) x from c) where p = 0 and x in (select h from first) or p > 0 and x in (select h from rest) group by all),
+r(w, p, n) as (select w, 0, 0 from w union all select r.w, (r.p + j.n)::int, r.n + 1 from r join j on j.w = r.w and j.p = r.p),
+t as (select w.w, coalesce(max(r.n) filter (where r.p = length(h) // 2), 1) n from w left join r on r.w = w.w group by w.w),
+k as (select rid, sum(n) n from g join t using (w) group by rid)
+select doc_id, coalesce(len(ws), 0)::bigint n_words, coalesce(n, 0)::bigint n_tokens from d left join k using (rid)
 """
