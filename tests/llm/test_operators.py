@@ -2,15 +2,18 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, fingerprint, html_blocks, jaccard_join, mixing, quality, queries, quotes, secrets, shared, token_counts, warc
-from tessera.llm.oracles import FINGERPRINT_FIGURES, ORACLES
+from tessera.llm.oracles import ORACLES
+from tessera.llm.words import ALNUM, buffers, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, size string, spans string"
@@ -23,13 +26,13 @@ def docs(spark, *texts):
 ODD = (None, "", "   \n\t", "a", "one two three four five", "one two three four five", "é " * 3000, "password = hunter22 " * 400)
 
 
-@pytest.mark.parametrize("name", [*(n for n in ORACLES if n in queries.QUERIES), "op4_fingerprints"])
+@pytest.mark.parametrize("name", [n for n in ORACLES if n in queries.QUERIES])
 def test_query_matches_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(ORACLES.get(name, FINGERPRINT_FIGURES)).df()
+    want = con.execute(ORACLES[name]).df()
     text = lambda df: sorted(tuple("-" if x is None or x is pd.NA or x != x else str(float(x)) if isinstance(x, (int, float)) else str(x) for x in r) for r in df[list(want.columns)].itertuples(index=False))
     assert text(got) == text(want)
 
@@ -64,8 +67,13 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_dictionary_and_damage():
-    records = [warc.record(i, f"http://x/{i}", f"<html>page {i} {random.Random(i).random()}</html>".encode() * 20, None, False) for i in range(300)]
-    (archive,) = warc.archives(iter(records))
+    records = [warc.record(str(i), f"http://x/{i}", f"<html>page {i} {random.Random(i).random()}</html>".encode() * 20, None, False) for i in range(300)]
+    (archive,) = warc.archives(iter(records), warc.dictionary(records[:20]))
+    (single,) = warc.archives(iter(records[:1]), warc.dictionary([]))
+    assert single[:4] == b"\x5d\x2a\x4d\x18" and list(warc.frames(single)) == records[:1]
+    for cut in range(1, 40):  # in the dictionary frame and its header
+        with pytest.raises(ValueError):
+            list(warc.frames(archive[:cut]))
     assert archive[:4] == b"\x5d\x2a\x4d\x18" and list(warc.frames(archive)) == records
     assert list(warc.frames(b"")) == []
     with pytest.raises(ValueError, match="cut off"):
@@ -104,6 +112,44 @@ def test_jaccard_brute_force(spark):
     assert jaccard_join.jaccard_classes(docs(spark, "a").limit(0)).count() == 0
 
 
+def rows_of(spark, *rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    import corpus_pipeline as p
+
+    w = [f"w{i}" for i in range(200)]
+    a, b = " ".join(w), " ".join(reversed(w))
+    classes = lambda d: sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(d).collect()), key=str)
+    stay = lambda d: sorted(((r["doc_id"], r["text"]) for r in p.keep_one_of_each(spark, d, "").collect()), key=str)
+    chain = rows_of(spark, (1, a), (None, " ".join(w[:170])), (3, " ".join(w[:140])))
+    assert classes(chain) == [(1, 1), (3, 1), (None, 1)] and stay(chain) == [(1, a)]
+    shared = rows_of(spark, (5, a), (4, a), (5, b))
+    assert classes(shared) == [(4, 4), (5, 4), (5, 5)] and stay(shared) == [(4, a), (5, b)]
+    again = rows_of(spark, (9, a), (9, a), (None, b), (None, b), (None, None), (9, ""), (9, ""), (9, a + " x"))
+    assert stay(again) in [sorted([(9, ""), (9, ""), (9, t), (None, None), (None, b)], key=str) for t in (a, a + " x")]
+    r = random.Random(9)
+    texts = [" ".join(w[r.randrange(3) : 190 + r.randrange(10)]) if r.random() < 0.5 else " ".join(r.choice(w) for _ in range(30)) for _ in range(60)]
+    ids = [r.choice([None, *range(20)]) for _ in texts]
+    roots = [x for _, x in brute_classes(texts)]
+    least = {root: min((i for i, x in zip(ids, roots, strict=True) if x == root and i is not None), default=None) for root in roots}
+    d = rows_of(spark, *zip(ids, texts, strict=True))
+    assert classes(d) == sorted(((i, least[x]) for i, x in zip(ids, roots, strict=True)), key=str)
+    assert len(stay(d)) == len(set(roots)) and {i for i, _ in stay(d)} == set(least.values())
+
+
+def test_merge_skip():
+    r = random.Random(8)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(30), r.randint(0, 12))) for _ in range(r.randint(1, 9))]
+        flat = [x for y in lists for x in y]
+        stop = np.cumsum([len(y) for y in lists]).tolist()
+        need = r.randint(1, 5)
+        ids, count = jaccard_join.merge_skip(flat, [0, *stop[:-1]], stop, need)
+        assert dict(zip(ids.tolist(), count.tolist(), strict=True)) == {x: flat.count(x) for x in set(flat) if flat.count(x) >= need}
+
+
 def test_signatures_and_search_lose_nothing():
     rng, r = np.random.default_rng(3), random.Random(4)
     words = rng.integers(0, 2**64, 4000, dtype=np.uint64)
@@ -133,16 +179,32 @@ def test_components(spark):
 
 
 def test_fingerprints_edges(spark):
-    texts = [*ODD, "A sentence here. " * 300, "Another one, quite. " * 300]
-    d = fingerprint.with_next(docs(spark, *texts)).withColumns({"a": fingerprint.paragraphs(F.col("text")), "b": fingerprint.paragraphs(F.col("next"))})
-    d = d.withColumns({"ca": fingerprint.sketch("a"), "cb": fingerprint.sketch("b")}).withColumn("d", fingerprint.differing("a", "b", "ca", "cb"))
-    got = {r["doc_id"]: r for r in d.withColumns({"like": fingerprint.likeness("a", "b", "d"), "f": fingerprint.fingerprint("ca")}).collect()}
+    texts = [*ODD, "A sentence here. " * 300, "Another one, quite. " * 300, "One short text of a few words only."]
+    texts += [f"{texts[-1][:26]} and another end", *(" ".join(f"word{i * j % 97}" for j in range(i)) for i in range(2, 400, 13))]
+    d = fingerprint.with_next(docs(spark, *texts), carry={"a": fingerprint.paragraphs(F.col("text")), "sa": fingerprint.sketch("a")}, ranges=5)
+    d = d.withColumns({"f": fingerprint.fingerprint("sa"), "g": fingerprint.fingerprint("next_sa"), "d": fingerprint.differing("sa", "next_sa")})
+    d = d.withColumns({"pa": fingerprint.parsed("f"), "pb": fingerprint.parsed("g")}).withColumn("dp", fingerprint.differing("pa", "pb"))
+    d = d.withColumns({"like": fingerprint.likeness("sa", "next_sa", "d"), "again": fingerprint.likeness("pa", "pb", "dp")})
+    got = {r["doc_id"]: r for r in d.collect()}
     assert len(got) == len(texts)
     for i, r in got.items():
         assert r["next"] == (texts[(i + 1) % len(texts)] or "")
-        assert set(r["d"]["a"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["b"]) == set(r["b"]) - set(r["a"])
+        a, b = set(r["a"]), set(r["next_a"])
+        assert set(r["sa"]["listed"]) == a and set(r["pa"]["listed"]) == a and r["f"] == r["f"].strip()
+        assert set(r["d"]["a"]) == a - b and set(r["d"]["b"]) == b - a
+        assert r["like"] == r["again"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1)  # what is stored tells as much
     assert got[4]["f"] == got[5]["f"] and got[4]["like"] == 1 and got[0]["f"] == ""
+    assert 0 < got[len(ODD) + 2]["like"] < 1
     assert fingerprint.with_next(docs(spark, "a").limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, f"t{i}") for i in range(30)] + [(7, "seven"), (7, "seven"), (9, None)], "doc_id long, text string")
+    follows = {r["text"]: r["next"] for r in fingerprint.with_next(nulls).collect()}
+    at, seen = "", []
+    for _ in range(31):
+        at = follows[at]
+        seen.append(at)
+    assert len(set(seen)) == 31 and follows[""] in seen and "seven" in seen  # one round through all texts
+    with pytest.raises(TypeError):
+        fingerprint.with_next(nulls.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_quality_held_out(spark):
@@ -159,17 +221,35 @@ def test_quality_held_out(spark):
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "Bob wrote:\n> how ARE you\nFine."), (1, 2, "user", ">> How are you?\n> Fine.\nGood!"),
-        (1, 3, "user", "> never said\nOdd"), (1, None, "user", "> Fine."), (2, 0, None, None), (2, 1, "user", "> Fine.\n"),
+        (1, 3, "user", "> never said\nOdd"), (1, None, "user", "> Fine."), (2, 0, None, None), (2, 1, "user", "> Fine.\n"), (1, 1, "assistant", "> Hello there\nFine."), (None, 0, "user", "Fine."), (None, 1, "user", "> Fine."),
     ]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotations(m).collect()}
-    assert len(got) == len(rows)
+    every = quotes.link_quotations(m).collect()
+    assert len(every) == len(rows) and [r["position"] for r in every] == list(range(len(rows)))
+    got = {(r["conv_id"], r["turn"]): r for r in every}
     assert (got[1, 1]["parent"], got[1, 1]["reply"], got[1, 1]["root"], got[1, 1]["depth"]) == (0, "Fine.", 0, 1)
     assert (got[1, 2]["parent"], got[1, 2]["root"], got[1, 2]["depth"], got[1, 2]["max_level"], got[1, 2]["n_linked"]) == (1, 0, 2, 2, 2)
     assert (got[1, 3]["parent"], got[1, 3]["n_quoted"], got[1, 3]["n_linked"], got[2, 1]["parent"]) == (None, 1, 0, None)
+    assert (got[None, 1]["parent"], got[1, None]["n_quoted"]) == (0, 0)
     assert quotes.link_quotations(m.limit(0)).count() == 0
 
 
+def test_quotations_wrapped_anew_and_deep(spark):
+    told = "The quick brown fox jumps over the lazy dog near the river. It then goes to sleep under a tree and dreams of hens"
+    rows = [(1, 0, "user", told)]
+    for i in range(1, 6):  # each answers the one before, wrapped anew, under a long line that announces it
+        before = told if i == 1 else f"Answer number {i - 1} has quite a few words that somebody may well wrap in another place"
+        wrapped = "\n> ".join(" ".join(before.split()[j : j + 3 + i]) for j in range(0, len(before.split()), 3 + i))
+        rows.append((1, i, "user", f"{'On a day of which much could be said ' * 20}somebody wrote:\n> {wrapped}\nAnswer number {i} has quite a few words\nthat somebody may well wrap in another place"))
+    rows.append((1, 6, "user", "Unrelated"))
+    rows.append((1, 7, "user", "> It then goes to sleep under a\n> tree and dreams of hens\n>\n> Unrelated\nBoth"))
+    got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {r["turn"]: r for r in got}
+    assert [(by[i]["parent"], by[i]["root"], by[i]["depth"]) for i in range(1, 6)] == [(i - 1, 0, i) for i in range(1, 6)]
+    assert all(by[i]["reply"].startswith("Answer number") for i in range(1, 6)) and (by[7]["parent"], by[7]["n_linked"]) == (6, 2)
+    assert [r["turn"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
 def test_winnowing_edges(spark):
     ws = [f"w{i}" for i in range(60)]
     items = spark.createDataFrame([(1, " ".join(ws[:25])), (2, "short Item"), (3, None), (None, " ".join(ws[30:45])), (1, " ".join(ws[:25]))], "item_id long, text string")
@@ -182,6 +262,101 @@ def test_winnowing_edges(spark):
     assert decontaminate.contamination(docs(spark, *texts), items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_winnowing_repeats():
+    r = random.Random(1)
+    made = lambda n: " ".join(r.choice("abcd"[: r.choice([2, 4])]) for _ in range(n))
+    split = lambda texts: words(*buffers(pa.array(texts)), ALNUM)
+    for _ in range(60):
+        items = [made(r.choice([0, 3, 9, 10, 11, 14, 40])) for _ in range(5)] + ["a " * 30]
+        texts = [f"{made(r.choice([0, 5, 10, 60]))} {r.choice(items)} {made(r.choice([0, 8, 30]))}" for _ in range(4)] + ["a " * r.choice([9, 10, 40])]
+        w = split(texts)
+        hit, row, item = decontaminate.Benchmark(list(range(len(items))), split(items), 10, 5).hits(w)
+        for i, t in enumerate(texts):
+            ws, want, its = t.split(), set(), set()
+            for j, x in enumerate(items):
+                n = min(10, len(x.split()))
+                grams = {tuple(x.split()[k : k + n]) for k in range(len(x.split()) - n + 1)} if n else set()
+                at = [k for k in range(len(ws) - n + 1) if tuple(ws[k : k + n]) in grams]
+                its |= {j} if at else set()
+                want |= {k + m for k in at for m in range(n)}
+            assert set(np.flatnonzero(hit[w.first[i] : w.first[i + 1]]).tolist()) == want and set(item[row == i].tolist()) == its
+    began = time.time()
+    hit, _, item = decontaminate.Benchmark(["1"], split(["a " * 5000]), 10, 5).hits(split(["a " * 20_000]))
+    assert hit.all() and len(hit) == 20_000 and item.tolist() == [0] and time.time() - began < 5
+
+
+def test_kept_columns_may_clash(spark):
+    names = ["key", "run", "items", "n_words", "spans", "score", "position", "kept_score", "size", "doc_id", "text"]
+    d = spark.createDataFrame([(1, "a b", "s", *"cdefghijk")], ["doc_id", "text", "source", *[n for n in names if n not in ("doc_id", "text")]])
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for size in (10, 1):
+        r = decontaminate.contamination(d, items, keep=tuple(names), slice_words=size).first().asDict()
+        assert (r["n_hit"], r["items"], r["kept_items"], r["kept_n_words"], r["key"], r["kept_doc_id"], r["text"]) == (2, ["1"], "e", "f", "c", 1, "a b")
+    r = mixing.mix_sources(d, keep=names).first().asDict()
+    assert (r["size"], r["key"], r["run"], r["kept_position"], r["kept_size"]) == (2, "c", "d", "i", "k")
+    assert secrets.secret_spans(d, keep=tuple(names)).first().asDict()["kept_spans"] == "g"
+    r = quality.quality_scores(d, quality.train([]), keep=tuple(names)).first().asDict()
+    assert (r["score"], r["kept_kept_score"], r["kept_score"]) == (0.5, "h", "j") or (r["score"], r["kept_score"]) == (0.5, "j")
+    assert token_counts.token_counts(d, queries.VOCABULARY, keep=("n_words", "items")).first().asDict()["kept_n_words"] == "f"
+
+
+def test_mixing_schedule_of_several_segments(spark):
+    schedule = ((0.0, 1.0), (0.25, 4.0), (0.5, 0.0), (1.0, 2.0))
+    d = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w x y "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    got = sorted(mixing.mix_sources(d, (schedule,), share=1.5).where("position is not null").collect(), key=lambda r: r["position"])
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:], strict=False))
+
+    def demand(t):  # by small steps
+        total, n = 0.0, 2000
+        for i in range(int(t * n)):
+            x = (i + 0.5) / n
+            a, b = next((a, b) for a, b in zip(schedule, schedule[1:], strict=False) if a[0] <= x <= b[0])
+            total += (a[1] + (b[1] - a[1]) * (x - a[0]) / (b[0] - a[0])) / n
+        return total / area
+
+    assert len(got) == 300 and sum(r["taken"] for r in got) == 1800
+    for i in range(0, 300, 37):
+        assert demand(got[i]["position"]) == pytest.approx(4 * i / 1800, abs=0.005)
+    assert sum(r["last_position"] > r["position"] for r in got) == 150
+
+
+def test_warc_of_others():
+    uuid = "<urn:uuid:f47ac10b-58cc-4372-a567-0e02b2c3d479>"
+
+    def made(kind, block, **more):
+        lines = ["WARC/1.0", f"warc-type: {kind}", f"WARC-Record-ID: {uuid}", "WARC-Date: 2024-01-01T00:00:00Z", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = {"Content_Type": "application/http;msgtype=response"}
+    assert warc.parse(made("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields")) is None
+    assert warc.parse(made("request", b"GET / HTTP/1.1\r\n\r\n", **http)) is None and warc.parse(made("metadata", b"")) is None
+    r = warc.parse(made("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody", WARC_Target_URI="http://x/", WARC_Payload_Digest=f"sha1:{warc.digest(b'body')}", X="a\r\n  folded", **http))
+    assert (r["payload"], r["record_id"], r["page_id"], r["url"]) == (b"body", uuid.strip("<>"), None, "http://x/")
+    assert warc.parse(made("response", b"1.2.3.4", Content_Type="text/dns"))["payload"] == b"1.2.3.4"
+    r = warc.parse(made("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha1:" + "A" * 32, WARC_Refers_To=uuid, **http))
+    assert (r["payload_bytes"], r["refers_to_record"], r["payload_digest"]) == (None, uuid.strip("<>"), "A" * 32)
+    for bad in (made("response", b"no http", **http), made("response", b"HTTP/1.1 200\r\n\r\nx", WARC_Payload_Digest="sha1:" + "B" * 32, **http), made("revisit", b"", **http), made("request", b"x")[:-1]):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
+def test_warc_ids_of_text_and_broken_archives(spark, tmp_path):
+    pages = spark.createDataFrame([("a/b é", "u", "x"), ("c", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    back = {r["page_id"]: r for r in warc.read_archives(spark.read.parquet(str(tmp_path / "w")), id_type="string").collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in back.items()} == {"c": ("response", None), "a/b é": ("revisit", "c"), None: ("response", None)}
+    (archive,) = warc.archives(iter([warc.record("1", None, b"x", None, False)]), warc.dictionary([]))
+    broken = spark.createDataFrame([(archive[:6],), (archive[:-2],), (archive,), (b"??",), (None,)], "content binary")
+    assert sorted(r["error"] is None for r in warc.read_archives(broken).collect()) == [False, False, False, True]
+
+
+def test_secrets_many_in_one_text(spark):
+    text = " ".join(f"user=bob{i} token = abc{i:06d} https://h{i}.example.com/p" for i in range(4000))
+    began = time.time()
+    r = secrets.secret_spans(docs(spark, text, text)).collect()
+    assert [len(x["spans"]) for x in r] == [12_000, 12_000] and time.time() - began < 60
+
+
 def test_secrets_link_and_redact(spark):
     token = "Zx81" * 8
     texts = [*ODD, f"client_id: bob42 and then {token}", f"only {token}", "é AKIA" + "A" * 16 + f" https://api.example.com/x {token} ", token + " " * 400 + " user=bob"]
