@@ -1,100 +1,177 @@
-"""Coding-standard rules as column expressions: code in, warnings out."""
+"""Coding-standard rules as column expressions: a symbol's record in, warnings out.
+
+Each rule gives an array of warning texts, empty where it holds. Texts are what other operators look for, so they are fixed values, as are
+the patterns. Patterns on code see it without comments; those of ``BARE`` without the contents of strings as well.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import docstrings
+
 # Fixed values.
-VERBS = "get set calculate validate fetch parse process run check update delete create load save handle start stop is has should can extract write read".split()
-BLOCK_COMMENTS = r"(?s)/\*.*?\*/|'''.*?'''|\"\"\".*?\"\"\""
-LINE_COMMENTS = r"(?m)//.*$|#.*$"
-STRINGS = r"\"[^\"\n]*\"|'[^'\n]*'"
-
-#: (identifier, pattern on code without comments, message): a rule that is one pattern.
-PATTERNS = (
-    ("LR-05", r"(?i)select\s*\(\s*['\"]\*['\"]\s*\)|select\s+\*", "Select only the columns needed"),
-    ("LR-07", r":\s*any\b|\bas\s+any\b", "Avoid the any type"),
-    ("LR-09", r"catch\s*\([^)]*\)\s*\{\s*\}", "Empty catch block"),
-    ("LR-11", r"\b(?:eval|exec|os\.system|subprocess\.(?:run|call|Popen))\s*\(", "Security critical: use of eval or a shell"),
-    ("LR-12", r"\b\w+\s*=\s*(?:eval|exec|os\.system)\b(?!\s*\()", "Aliasing risky functions"),
-    ("LR-13", r"(?i)\b(?:password|passwd|secret|api_key|token|private_key)\s*[:=]\s*['\"][^'\"]{3,}['\"]", "Hardcoded credentials"),
-    ("LR-14", r"\bDEBUG\s*=\s*True\b|\bdebug\s*=\s*True\b", "DEBUG=True"),
-    ("LR-15", r"\.(?:execute|query)\s*\(\s*(?:f['\"]|['\"][^'\"]*['\"]\s*\+)", "SQL injection risk"),
-    ("LR-18", r"except\s*:\s*\n?\s*pass\b", "Silent except"),
-    ("LR-20", r"open\s*\([^)]*\+[^)]*\)", "Potential path traversal"),
-    ("LR-21", r"chmod\s*\([^)]*0?o?777", "Insecure file permissions"),
-    ("LR-24", r"\bglobal\s+\w+", "Global state"),
-)
-
-#: The same on code whose strings are blanked as well.
-BARE_PATTERNS = (
-    ("LR-29", r"\b(?:let|const|var)\s+[A-Za-z]\b|(?m)^\s*[A-Za-z]\s*=[^=]", "Single-letter variable"),
-    ("LR-30", r"\.(?:push|pop|splice|shift|unshift)\s*\(", "Mutating array method"),
-)
+VERBS = (
+    "get", "set", "calculate", "validate", "fetch", "parse", "process", "run", "check", "update", "delete", "create", "load", "save", "handle",
+    "start", "stop", "is", "has", "should", "can", "extract", "write", "read",
+)
+PATH_VERBS = ("get", "set", "fetch", "delete", "update")
+VALIDATORS = ("zod", "yup", "joi", "schema", "validate")
+OBVIOUS = ("increment", "get", "getter", "return", "obvious")
+UNREMARKABLE = (-1.0, 0.0, 1.0, 100.0)
+BLOCKING = {
+    "time.sleep": "await asyncio.sleep()", "requests.": "httpx or aiohttp", "subprocess.": "asyncio.create_subprocess_exec()", "shutil.": "executor or async alternative",
+}
+DOCUMENTED = ("python", "javascript", "typescript", "solidity", "rust", "cpp", "c")
+RISKY = r"(eval|exec|os\.system|subprocess\.(?:run|call|Popen))"
+FLAG = r"\b(is_[a-zA-Z0-9_]+|has_[a-zA-Z0-9_]+|enable|disable|active)"
+COMMENTS = (r"(?s)/\*.*?\*/", r'(?s)"""\s*.*?\s*"""', r"(?s)'''\s*.*?\s*'''", r"//[^\n]*", r"#[^\n]*")
+STRINGS = ((r'"[^"\\]*(?:\\.[^"\\]*)*"', '""'), (r"'[^'\\]*(?:\\.[^'\\]*)*'", "''"), (r"`[^`\\]*(?:\\.[`\\]*)*`", "``"))
+
+#: Rules that are a pattern, words that must not be there, and a text.
+PATTERNS = {
+    "LR-05": (r"(?i)\bselect\s*\(\s*['\"]?\*['\"]?\s*\)|\bselect\s+\*", (), "SQL SELECT * performance check: avoid select('*') or SELECT *"),
+    "LR-07": (r":\s*any\b|\bas\s+any\b", (), "Type safety: warn if : any or as any type annotation is used"),
+    "LR-09": (r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}", (), "Empty catch block: try/catch block contains empty catches (silent failures)"),
+    "LR-11": (rf"\b{RISKY}\s*\(", (), "Security critical: use of eval(), exec(), os.system(), or subprocess is risky"),
+    "LR-12": (rf"\b\w+\s*=\s*{RISKY}\b", (), "Security critical: aliasing risky functions (eval/exec/system) is a common obfuscation tactic"),
+    "LR-13": (r"(?i)\b(password|secret|api_key|token|credential|auth_key)\b\s*[:=]\s*[\"'][^\"']{3,}[\"']", (), "Hardcoded credentials: plain-text secrets or keys detected in code"),
+    "LR-14": (r"\bDEBUG\s*=\s*True\b|\bdebug\s*=\s*True\b", (), "Insecure default: DEBUG=True or debug=True found in code"),
+    "LR-15": (r"(?is)\.(?:execute|query)\s*\(\s*(?:f[\"']|[\"'].*?\+.*?[\"'])", (), "SQL injection risk: string concatenation or f-strings in SQL query"),
+    "LR-16": (r"requests\.", ("timeout=",), "Production risk: requests call missing a timeout"),
+    "LR-17": (r"while True", ("break", "return", "raise"), "Unbounded loop: while True found without a clear exit condition (break/return/raise)"),
+    "LR-18": (r"\bexcept[^:]*:\s*(?:pass|#\s*.*)\s*(?:\n|$)", (), "Silent failure (Python): except block contains only pass or is empty"),
+    "LR-19": (r"\b(pickle\.load|pickle\.loads|yaml\.load)\b\s*\(", ("SafeLoader",), "Security risk: insecure deserialization (pickle or unsafe yaml.load) detected"),
+    "LR-20": (r"\bopen\s*\(\s*[^,)]*([f\"]|\+).*[\"]", (), "Security risk: potential path traversal (unvalidated string concatenation in open())"),
+    "LR-21": (r"\bos\.chmod\s*\(.*?(?:0o777|777|0777)\b", (), "Security risk: insecure file permissions (chmod 777) detected"),
+    "LR-23": (r"(?s)\b(while|for)\b.*?\n(\s+).*?\.(append|add|update|extend)\(", ("len(", "clear()", "pop("), "Memory safety: potential unbounded collection growth in loop (no len check or clear)"),
+    "LR-24": (r"\bglobal\s+\w+", (), "Concurrency risk: use of 'global' keyword detected; ensure thread-safety with locks"),
+    "LR-25": (r"@lru_cache", ("maxsize=",), "Memory safety: @lru_cache used without explicit maxsize (defaults to 128, but explicit is better)"),
+}
+BARE = {
+    "LR-29": (r"\b(let|const|var)\s+([a-zA-Z])\b|\b([a-zA-Z])\s*=[^=\n]", "Short/vague variable name detected"),
+    "LR-30": (r"\.(push|pop|splice|shift|unshift)\(", "Immutability violation: mutation methods used"),
+}
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def lines_of(text: Column) -> Column:
+    """Lines; what ends a text ends no further line, and an empty text has none."""
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(text, r"(?:\r\n|\n|\r)\z", ""), r"\r\n|\n|\r"))
 
 
 def without_comments(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(code, F.lit("")), BLOCK_COMMENTS, ""), LINE_COMMENTS, "")
+    for pattern in COMMENTS:
+        code = F.regexp_replace(code, pattern, "")
+    return code
+
+
+def without_strings(plain: Column) -> Column:
+    for pattern, blank in STRINGS:
+        plain = F.regexp_replace(plain, pattern, blank)
+    return plain
 
 
-def without_strings(code: Column) -> Column:
-    return F.regexp_replace(without_comments(code), STRINGS, '""')
+def inside(signature: Column) -> Column:
+    """What is between a signature's first opening and last closing parenthesis."""
+    return F.regexp_extract(signature, r"(?s)^[^(]*\((.*)\)[^)]*$", 1)
 
 
 def params_of(signature: Column) -> Column:
-    """Parameters of a signature without nested brackets."""
-    inner = F.regexp_extract(F.coalesce(signature, F.lit("")), r"\(([^()]*)\)", 1)
-    return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def rules(code: Column, name: Column, signature: Column, docstring: Column, path: Column, kind: Column) -> dict[str, Column]:
-    """Whether each rule is broken, by identifier."""
-    plain, bare = without_comments(code), without_strings(code)
-    path = F.coalesce(path, F.lit(""))
-    base, lines = F.element_at(F.split(path, "/"), -1), F.split(F.coalesce(code, F.lit("")), "\n")
-    stem = F.regexp_replace(base, r"\.[^.]*$", "")
-    sig = F.coalesce(signature, F.lit(""))
-    within = lambda part: F.array_contains(F.split(path, "/"), part)
-    first_word = F.lower(F.regexp_extract(name, r"^_*([A-Z]?[a-z]+)", 1))
-    number = F.regexp_extract(bare, r"(?<![\w.])(-?\d+(?:\.\d+)?)(?![\w.])", 1)
-    bare_lines = F.split(bare, "\n")
-    awaits = F.zip_with(
-        F.filter(F.transform(bare_lines, lambda x: F.trim(x)), lambda x: x != ""),
-        F.slice(F.filter(F.transform(bare_lines, lambda x: F.trim(x)), lambda x: x != ""), 2, 1 << 30),
-        lambda a, b: a.contains("await ") & F.coalesce(b, F.lit("")).contains("await "),
-    )
-    out = {
-        "LR-01": F.size(params_of(sig)) >= 5,
-        "LR-02": within("components") & ~stem.rlike("^[A-Z][a-zA-Z0-9]*$"),
-        "LR-03": within("hooks") & ~stem.rlike("^use[A-Z]"),
-        "LR-04": F.regexp_extract(path, r"(?:^|/)api/([a-z]+)", 1).isin("get", "set", "fetch", "delete", "update"),
-        "LR-06": F.lower(sig).rlike(r"\breq(?:uest)?\b") & ~F.lower(plain).rlike("zod|yup|joi|schema|validate"),
-        "LR-08": plain.rlike(r"(?s)\bset[A-Z]\w*\((?:(?!=>|function)[^)])*\)"),
-        "LR-10": within("api") & plain.rlike(r"\.json\(|JSON\.stringify\(") & ~plain.contains("success"),
-        "LR-16": plain.contains("requests.") & ~plain.contains("timeout="),
-        "LR-17": plain.rlike(r"while\s+True|while\s*\(\s*true\s*\)") & ~plain.rlike("break|return|raise"),
-        "LR-19": plain.rlike(r"\b(?:pickle|yaml)\.loads?\s*\(") & ~plain.contains("SafeLoader"),
-        "LR-22": plain.contains("async def") & plain.rlike(r"time\.sleep|requests\.|subprocess\.|shutil\."),
-        "LR-23": plain.rlike(r"(?s)\b(?:for|while)\b.*\.(?:append|add|update|extend)\(") & ~plain.rlike(r"len\(|clear\(\)|pop\("),
-        "LR-25": plain.rlike(r"@lru_cache(?:\(\))?(?:\s|$)") & ~plain.contains("maxsize"),
-        "LR-26": ~kind.isin("Class", "Interface", "Enum", "Variable", "Module") & ~first_word.isin(VERBS),
-        "LR-27": F.size(lines) > 50,
-        "LR-28": F.exists(lines, lambda x: x.rlike("^(?: {16}|\t{4})")),
-        "LR-31": F.exists(bare_lines, lambda x: x.rlike(r"\b(?:fetch|open)\s*\(")) & ~bare.rlike(r"\b(?:try|except|catch)\b"),
-        "LR-32": (number != "") & ~number.isin("-1", "0", "1", "100"),
-        "LR-33": F.exists(bare_lines, lambda x: x.rlike(r"\?.*\?") & x.rlike(":.*:")),
-        "LR-34": F.coalesce(code, F.lit("")).rlike(r"(?i)(?://|#)[^\n]*\b(?:increment|get|getter|return|obvious)\b[^\n]*\n\s*(?:\w+\s*(?:\+\+|\+=)|return\b|def get)"),
-        "LR-35": F.exists(awaits, lambda x: x),
-        "LR-36": F.concat(sig, F.lit("\n"), plain).rlike(r"\(\s*[^)]*\b\w+\s*(?::\s*bool(?:ean)?\b|=\s*(?:True|False|true|false)\b)"),
-        "LR-37": F.trim(F.coalesce(docstring, F.lit(""))) == "",
-        "LR-38": (F.size(params_of(sig)) > 0) & ~F.lower(F.coalesce(docstring, F.lit(""))).rlike(r"@param|args:|arguments:|parameters:|# arguments"),
-    }
-    out |= {key: plain.rlike(pattern) for key, pattern, _ in PATTERNS}
-    out |= {key: bare.rlike(pattern) for key, pattern, _ in BARE_PATTERNS}
+    """The parameters of a signature: commas in brackets (eight deep) and strings don't part them."""
+    flat = F.regexp_replace(F.regexp_replace(inside(signature), r"(?s)\\.", ""), r"(?s)\"[^\"]*\"|'[^']*'|`[^`]*`", "")
+    for _ in range(8):
+        flat = F.regexp_replace(flat, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "x")
+    return F.filter(F.transform(F.split(flat, ","), stripped), lambda x: x != "")
+
+
+def _words(text: Column, other: str) -> Column:
+    """Lower-case words, parted before capitals and at ``other`` characters."""
+    apart = F.regexp_replace(F.regexp_replace(text, "([A-Z])", " $1"), other, " ")
+    return F.filter(F.split(F.lower(apart), r"\s+"), lambda x: x != "")
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def findings(code: Column, name: Column, signature: Column, docstring: Column, path: Column, kind: Column, language: Column) -> dict[str, Column]:
+    """The warnings of each rule, by identifier, in the order in which a record's warnings come; nulls are empty."""
+    code, signature, path, docstring = (F.coalesce(x, F.lit("")) for x in (code, signature, path, docstring))
+    plain = without_comments(code)
+    bare = without_strings(plain)
+    out: dict[str, Column] = {}
+
+    def warn(rule: str, broken: Column, text: str | Column) -> None:
+        text = F.lit(text) if isinstance(text, str) else text
+        none = F.expr("cast(array() as array<string>)")
+        out[rule] = F.coalesce(F.when(broken, F.array(text)).otherwise(none), none)
+
+    warn("LR-01", F.size(params_of(signature)) >= 5, "Parameter count smell: function has 5 or more parameters in signature")
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    file, folders = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
+    stem = F.regexp_replace(file, r"\.[^.]*$", "")
+    warn("LR-02", F.array_contains(folders, "components") & ~stem.rlike("^[A-Z][a-zA-Z0-9]*$"), F.concat(F.lit("File in components/ must be PascalCase. Got: "), file))
+    warn("LR-03", F.array_contains(folders, "hooks") & ~stem.rlike("^use[A-Z][a-zA-Z0-9]*$"), F.concat(F.lit("File in hooks/ must be camelCase starting with 'use'. Got: "), file))
+    below = F.array_join(F.slice(parts, F.array_position(parts, "api").cast("int") + 1, F.size(parts)), "/")
+    verb = F.get(F.filter(_words(below, "[^a-zA-Z0-9]"), lambda w: w.isin(*PATH_VERBS)), 0)
+    warn("LR-04", F.array_contains(folders, "api") & verb.isNotNull(), F.concat(F.lit("API endpoint path uses standard verb '"), verb, F.lit("'. Got: "), path))
+    for rule, (pattern, spared, text) in PATTERNS.items():
+        warn(rule, plain.rlike(pattern) & ~_any(plain, spared), text)
+    warn("LR-06", (plain != "") & signature.rlike(r"(?i)\b(req|request)\b") & ~_any(F.lower(plain), VALIDATORS), "Input validation schema check: Request/req parameter is not checked against zod/yup/joi/schema/validate")
+    direct = F.exists(F.regexp_extract_all(plain, F.lit(r"(?s)\bset[A-Z]\w*\((.*?)\)"), F.lit(1)), lambda x: ~_any(x, ("=>", "function")))
+    warn("LR-08", direct, "React state updates: warn if a component updates state directly instead of using functional updates")
+    replies = plain.rlike(r"\b(?:res|response|Response)\.json\s*\(|\bJSON\.stringify\s*\(") & ~F.contains(plain, F.lit("success"))
+    warn("LR-10", F.array_contains(parts, "api") & replies, "API response format check: JSON responses in endpoint files (or methods starting with HTTP verbs under api/ path) must include a 'success' field")
+    blocking = [F.when(F.contains(plain, F.lit("async def")) & F.contains(plain, F.lit(c)), F.lit(f"Async safety: blocking call '{c}' detected in async function. Use {a} instead.")) for c, a in BLOCKING.items()]
+    out["LR-22"] = F.array_compact(F.array(*blocking))
+    first = F.get(_words(name, "_"), 0)
+    warn("LR-26", ~kind.isin("Class", "Interface", "Enum", "Variable", "Module") & ~first.isin(*VERBS), F.concat(F.lit("Function naming does not follow verb-noun pattern (e.g. fetchMarketData). Got: "), name))
+    lines = lines_of(code)
+    warn("LR-27", F.size(lines) > 50, "Function is too long (> 50 lines)")
+    deep = F.transform(lines, lambda x: x.rlike(r"^\s{16}") | x.rlike(r"\t[^\t]*\t[^\t]*\t[^\t]*\t"))
+    warn("LR-28", F.array_contains(deep, True), F.concat(F.lit("Deep nesting detected (> 3 levels) around line "), F.array_position(deep, True).cast("string")))
+    for rule, (pattern, text) in BARE.items():
+        warn(rule, bare.rlike(pattern), text)
+    warn("LR-31", bare.rlike(r"\b(fetch|open)\b") & ~bare.rlike(r"\b(try|except|catch)\b"), "Missing try/catch block on I/O operations")
+    numbers = F.regexp_extract_all(bare, F.lit(r"(?<!\w)-?\d+(?:\.\d+)?\b"), F.lit(0))
+    magic = F.get(F.filter(numbers, lambda x: ~x.cast("double").isin(*UNREMARKABLE)), 0)
+    warn("LR-32", magic.isNotNull(), F.concat(F.lit("Magic number detected: "), magic))
+    bare_lines = lines_of(bare)
+    warn("LR-33", F.exists(bare_lines, lambda x: x.rlike(r"\?.*\?") & x.rlike(":.*:")), "Ternary hell detected: multiple operators on the same line")
+
+    def followed(xs: Column, both) -> Column:
+        filled = F.filter(F.transform(xs, stripped), lambda x: x != "")
+        return F.get(F.transform(F.array(filled), lambda f: F.exists(F.zip_with(f, F.slice(f, F.lit(2), F.size(f)), both), lambda x: F.coalesce(x, F.lit(False)))), 0)
+
+    def obvious(x: Column, y: Column) -> Column:
+        said = x.rlike("^(?:#|//)") & _any(F.lower(F.regexp_replace(x, r"^[/#* \t]+", "")), OBVIOUS)
+        return said & (_any(y, ("++", "+=", "return")) | y.rlike(r"=\s*.*\+\s*1\b") | y.startswith("get"))
+
+    warn("LR-34", followed(lines, obvious), "Stating the obvious comment detected")
+    warn("LR-35", followed(bare_lines, lambda x, y: F.contains(x, F.lit("await")) & F.contains(y, F.lit("await"))), "Sequential awaits detected: run them in parallel if possible")
+    both = F.concat(signature, F.lit("\n"), bare)
+    warn("LR-36", both.rlike(rf"(?i){FLAG}\s*:\s*(bool|boolean)\b") | both.rlike(rf"{FLAG}\s*=\s*(True|False|true|false)\b"), "Boolean parameter flag detected")
+    blank = stripped(docstring) == ""
+    warn("LR-37", blank, "Missing docstring")
+    stated = F.exists(F.split(inside(signature), ","), lambda x: stripped(x) != "")
+    undocumented = stated & (F.size(docstrings.params(docstring, language)) == 0) & F.lower(language).isin(*DOCUMENTED)
+    warn("LR-38", ~blank & undocumented, "Malformed docstring: signature parameters are not documented")
     return dict(sorted(out.items()))
 
 
 def warnings(**columns: Column) -> Column:
-    """The identifiers of all rules broken, sorted; see ``rules`` for the columns."""
-    return F.array_compact(F.array(*[F.when(broken, F.lit(key)) for key, broken in rules(**columns).items()]))
+    """The texts of all warnings of a record; see ``findings`` for the columns."""
+    return F.flatten(F.array(*findings(**columns).values()))
+
+
+def broken(**columns: Column) -> Column:
+    """The identifiers of all rules broken, sorted."""
+    return F.array_compact(F.array(*[F.when(F.size(w) > 0, F.lit(rule)) for rule, w in findings(**columns).items()]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,10 +104,9 @@ def best_category(words: Column) -> Column:
 def inline_category(rule: Column) -> Column:
     """The plainer taxonomy that the report uses: the first substring that fits."""
     low = F.lower(rule)
-    any_of = lambda *ws: F.lit(False) if not ws else low.rlike("|".join(ws))
     return (
-        F.when(any_of("auth", "owner", "permission", "role"), "authorization").when(any_of("emit", "event", "log"), "event")
-        .when(any_of("read", "write", "fetch", "save"), "io").when(any_of("valid", "check", "verify", "require"), "validation").otherwise("generic")
+        F.when(low.rlike("auth|permission"), "authorization").when(low.rlike("event|log"), "event").when(low.rlike("read|write|file|db|query"), "io")
+        .when(low.rlike("validate|check"), "validation").otherwise("generic")
     )
 
 
@@ -112,7 +114,7 @@ def dependency_type(kind: Column, target: Column) -> Column:
     """api before internal (./ and ../) before relative imports before external."""
     k, t = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(target, F.lit("")))
     return (
-        F.when(k.contains("api") | k.contains("http"), "api").when(t.startswith("./") | t.startswith("../"), "internal")
+        F.when(k.contains("api") | k.contains("http") | t.startswith("http://") | t.startswith("https://"), "api").when(t.startswith("./") | t.startswith("../"), "internal")
         .when(k.contains("relative"), "internal").otherwise("external")
     )
 
@@ -129,18 +131,93 @@ def slug(path: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     """A file name: odd characters replaced, over 60 characters cut and told apart by a hash."""
-    plain = F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_")
-    return F.when(F.length(plain) > 60, F.concat(F.substring(plain, 1, 51), F.lit("_"), F.substring(F.md5(name), 1, 8))).otherwise(plain)
+    plain = F.regexp_replace(name, r"[^a-zA-Z0-9_\-]", "_")
+    return F.when(F.length(plain) > 60, F.concat(F.substring(plain, 1, 50), F.lit("_"), F.substring(F.md5(name.cast("binary")), 1, 6))).otherwise(plain)
 
 
 def masked(name: Column, value: Column) -> Column:
-    return F.when(F.lower(name).rlike("pass|secret|key|token"), F.lit("********")).otherwise(value)
+    return F.when(F.lower(name).rlike("pass|secret|key|token") & (value != ""), F.lit("********")).otherwise(value)
+
+
+def table_cell(text: Column, most: int = 80) -> Column:
+    """A text as a table's cell: one line, bars escaped, cut at ``most`` characters; a dash for none."""
+    flat = F.replace(F.replace(F.regexp_replace(F.regexp_replace(text, "\n", " "), "\r", ""), F.lit("|"), F.lit("\\|")), F.lit('"'), F.lit("'"))
+    cut = F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
+    return F.when(text.isNull() | (text == ""), F.lit("—")).otherwise(cut)
+
+
+def is_code(path: Column) -> Column:
+    """Files whose drift is measured."""
+    return path.rlike(r"\.(py|js|ts|tsx|jsx|go)$")
+
+
+def meaning(content: Column) -> Column:
+    """What an added file says first."""
+    return F.trim(F.replace(F.substring(content, 1, 300), F.lit("\n"), F.lit(" ")))
+
+
+def glob(pattern: str) -> str:
+    """A shell pattern as a regular expression."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
+def ignored(path: Column, patterns: tuple[str, ...] = ("*.md", "package-lock.json")) -> Column:
+    """Whether a path or its base name fits one of the patterns."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    out = F.lit(False)
+    for p in patterns:
+        out = out | path.rlike(glob(p)) | base.rlike(glob(p))
+    return out
+
+
+def branch_name(name: str) -> str:
+    """The name itself; ValueError for one that is empty, begins with a dash or has other characters than a branch's."""
+    if not name or name.startswith("-") or not re.fullmatch(r"[a-zA-Z0-9_\-/.+]+", name):
+        raise ValueError(f"no branch name: {name!r}")
+    return name
+
+
+def within(folder: str, *parts: str) -> str:
+    """The path of ``parts`` in ``folder``; ValueError if it leads out of it."""
+    top = posixpath.abspath(folder)
+    path = posixpath.abspath(posixpath.join(top, *parts))
+    if path != top and not path.startswith(top.rstrip("/") + "/"):
+        raise ValueError(f"{path} is outside of {top}")
+    return path
 
 
 def literal_type(value: Column) -> Column:
     """The type a literal seems to have."""
-    v = F.trim(value)
+    v = F.regexp_replace(value, r"^\s+|\s+$", "")
     return (
-        F.when(v.isNull() | (v == ""), "unknown").when(v.rlike("""^['"].*['"]$"""), "string").when(v.rlike(r"^\[|^array\("), "array")
-        .when(v.rlike("^new "), "object").when(F.lower(v).isin("true", "false"), "boolean").when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "number").otherwise("dynamic")
+        F.when(v.isNull() | (v == ""), "unknown").when(v.rlike("""(?s)^(['"]).*\\1$|^['"]$"""), "string").when(v.startswith("[") | v.startswith("array(") | v.endswith("]"), "array")
+        .when(v.startswith("new "), "object").when(F.lower(v).isin("true", "false"), "boolean").when(v.rlike(r"^[0-9]*\.?[0-9]*$") & v.rlike("[0-9]"), "number").otherwise("dynamic")
     )
+
+
+def rules_of(name: Column, stated: Column, docstring: Column, code: Column) -> Column:
+    """The rules of a record, array<struct<category, description, source_function, confidence>>.
+
+    Stated ones of a category come first, else the docstring's beginning with a confidence of 0.6 at most; then what the code has: guards and schema checks.
+    """
+    words = lambda t: F.split(F.lower(t), r"\W+")
+
+    def rule(category: Column, description: Column, confidence: Column) -> Column:
+        return F.struct(category.alias("category"), description.alias("description"), name.alias("source_function"), confidence.cast("double").alias("confidence"))
+
+    def scored(t: Column, said: Column, most: float) -> Column:
+        def of(w: Column) -> Column:
+            return rule(best_category(w), said, F.least(F.greatest(*category_scores(w).values()), F.lit(most)))
+
+        return F.get(F.transform(F.array(words(t)), of), 0)
+
+    own = F.filter(F.transform(F.coalesce(stated, F.array()), lambda t: scored(t, t, 1.0)), lambda r: r["category"].isNotNull())
+    doc, snippet = F.coalesce(docstring, F.lit("")), F.coalesce(code, F.lit(""))
+    fallback = F.filter(F.array(scored(doc, F.regexp_replace(F.substring(doc, 1, 200), r"^\s+|\s+$", ""), 0.6)), lambda r: r["category"].isNotNull() & (F.trim(doc) != ""))
+    guard = snippet.rlike(r"(?i)@\w*(authorized|requires|guard|protected|auth)\b") | snippet.rlike(r"(?i)\b(check_permission|is_admin|has_role|authorize)\s*\(")
+    schema = snippet.rlike(r"(?i)\b(zod|yup|joi|validator|schema)\.(parse|validate|check)\b")
+    found = [
+        F.when(where, rule(F.lit(category), F.lit(said), F.lit(0.85)))
+        for where, category, said in ((guard, "authorization", "Technical authorization check detected in code"), (schema, "validation", "Technical schema validation detected in code"))
+    ]
+    return F.concat(F.when(F.size(own) > 0, own).otherwise(fallback), F.array_compact(F.array(*found)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SINKS = {
     "echo": 79, "print": 79, "innerHTML": 79, "document.write": 79, "query": 89, "mysqli_query": 89, "execute": 89, "exec": 78, "system": 78,
     "shell_exec": 78, "passthru": 78, "popen": 78, "subprocess": 78, "eval": 94, "create_function": 94, "include": 98, "require": 98, "fopen": 22,
-    "open": 22, "file_get_contents": 918, "header": 601, "setcookie": 614, "log": 532, "error_log": 532,
+    "file_get_contents": 918, "open": 22, "header": 601, "setcookie": 614, "log": 532, "error_log": 532,
 }
 # Part of a warning to weakness and severity, in order.
 WARNINGS = (
@@ -20,77 +20,93 @@ WARNINGS = (
     ("insecure file permissions", 276, "MEDIUM"), ("unbounded loop", 400, "MEDIUM"), ("memory safety: potential unbounded", 400, "MEDIUM"),
     ("concurrency risk", 362, "MEDIUM"), ("insecure default", 1188, "MEDIUM"), ("blocking call", 400, "LOW"),
 )
-SENSITIVE = "password|secret|token|api_key|credential|private_key"
-SANITISERS = "mask|sanitize|hash|strip|redact"
-INTERNAL = "^test_|^mock_|_test$|internal_|^calibrate|sync_library"
-API_MARKERS = r"@app\.|@router\.|app\.(get|post|put|delete)\(|router\.(get|post|put|delete)\(|@authorized|@requires|@protected|handler|controller|endpoint|api"
-API_WORDS = "api|endpoint|handler|request|public"
-CREDENTIAL = r"(?i)(password|passwd|secret|api_key|token|private_key|credential)\s*[:=]\s*['\"][^'\"]{3,}['\"]"
-LOG_SINK = r"\b(print|log|error_log)\s*\(|logger\.|console\.log"
-STORAGE = r"open\([A-Za-z_]|write\([A-Za-z_]|json\.dump|yaml\.dump|pickle\.dump|sqlite3|INSERT INTO"
-SAFE_STORAGE = "hash|bcrypt|sha|pbkdf2|encrypt|AES"
-
-
-def _finding(df: DataFrame, cwe: int, title: str, severity: Column | str, where: Column) -> DataFrame:
+# Words and patterns of the scans.
+SENSITIVE = ("password", "secret", "token", "api_key", "credential", "private_key")
+SANITISERS = ("mask", "sanitize", "hash", "strip", "redact")
+INTERNAL = "(?i)^test_|^mock_|_test$|internal_|^calibrate|sync_library"
+API_CODE = r"@app\.(get|post|put|delete|patch|route)|@router\.|@authorized|@requires|@protected|handler|controller|endpoint|api"
+API_WORDS = ("api", "endpoint", "handler", "request", "public")
+OWNERS = ("owner", "sender", "user_id", "caller")
+CHECKS = ("==", "!=", "if ", "assert", "require", "throw", "raise")
+CREDENTIAL = r"(?i)\b(password|secret|api_key|token|credential|auth_key|private_key)\b\s*[:=]\s*[\"'][^\"']{3,}[\"']"
+LOG_SINK = r"(?i)\b(print|log|logger\.|console\.log|error_log)\b"
+STORED = r"(?i)\b(password|secret|token|credential|api_key)\b"
+STORAGE = r"(?i)\b(open\s*\(|write\s*\(|json\.dump|yaml\.dump|pickle\.dump|sqlite3|INSERT\s+INTO)\b"
+SAFE_STORAGE = r"(?i)\b(hash|bcrypt|sha|pbkdf2|encrypt|AES)\b"
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda out, w: out | F.contains(text, F.lit(w)), words, F.lit(False))
+
+
+def _finding(cwe: int, title: str, severity: Column | str) -> Column:
     level = F.lit(severity) if isinstance(severity, str) else severity
-    return df.where(where).select(F.lit(f"CWE-{cwe}").alias("cwe"), F.lit(title).alias("title"), F.col("name").alias("function"), "file", level.alias("severity"))
+    return F.struct(F.lit(f"CWE-{cwe}").alias("cwe"), F.lit(title).alias("title"), F.col("name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file"), level.alias("severity"))
 
 
-def hardcoded_credentials(symbols: DataFrame) -> DataFrame:
-    return _finding(symbols, 798, "Hardcoded credentials", "CRITICAL", F.col("code").rlike(CREDENTIAL))
+def _code() -> Column:
+    return F.coalesce("code", F.lit(""))
 
 
-def sensitive_in_logs(symbols: DataFrame) -> DataFrame:
-    code = F.col("code")
-    where = code.rlike(LOG_SINK) & F.lower(code).rlike(rf"\b({SENSITIVE})\b") & ~F.lower(code).rlike(SANITISERS)
-    return _finding(symbols, 532, "Sensitive data in logs", "MEDIUM", where)
+def hardcoded_credentials() -> Column:
+    return F.when(_code().rlike(CREDENTIAL), _finding(798, "Hardcoded Credentials", "CRITICAL"))
 
 
-def cleartext_storage(symbols: DataFrame) -> DataFrame:
-    code = F.col("code")
-    return _finding(symbols, 312, "Cleartext storage", "HIGH", F.lower(code).rlike(SENSITIVE) & code.rlike(STORAGE) & ~code.rlike(SAFE_STORAGE))
+def sensitive_in_logs() -> Column:
+    named = _code().rlike(rf"(?i)\b({'|'.join(SENSITIVE)})\b")
+    return F.when(_code().rlike(LOG_SINK) & named & ~_any(F.lower(_code()), SANITISERS), _finding(532, "Sensitive Info in Logs", "MEDIUM"))
 
 
-def endless_loop(symbols: DataFrame) -> DataFrame:
-    code = F.col("code")
-    return _finding(symbols, 400, "Loop without an exit", "HIGH", code.rlike(r"while True|while \(true\)") & ~code.rlike("break|return|raise"))
+def cleartext_storage() -> Column:
+    hit = _code().rlike(STORED) & _code().rlike(STORAGE) & ~_code().rlike(SAFE_STORAGE)
+    return F.when(hit, _finding(312, "Cleartext Storage of Sensitive Information", "HIGH"))
 
 
-def no_timeout(symbols: DataFrame) -> DataFrame:
-    code = F.col("code")
-    return _finding(symbols, 400, "Request without a timeout", "MEDIUM", code.contains("requests.") & ~code.contains("timeout="))
+def endless_loop() -> Column:
+    hit = _code().rlike(r"\bwhile\s+True\b") & ~_code().rlike(r"\bbreak\b|\breturn\b|\braise\b")
+    return F.when(hit, _finding(400, "Uncontrolled Resource Consumption (Infinite Loop)", "HIGH"))
+
+
+def no_timeout() -> Column:
+    return F.when(_any(_code(), ("requests.",)) & ~_any(_code(), ("timeout=",)), _finding(400, "HTTP Request Without Timeout", "MEDIUM"))
+
+
+def of_code(symbols: DataFrame, scans: tuple | None = None) -> DataFrame:
+    """The findings of scans that look at one symbol's code, all in one pass; a null code or docstring is empty."""
+    scans = scans or (sensitive_in_logs, hardcoded_credentials, endless_loop, no_timeout, cleartext_storage)
+    return symbols.select(F.inline(F.array_compact(F.array(*[f() for f in scans]))))
 
 
 def missing_authorization(symbols: DataFrame, rules: DataFrame) -> DataFrame:
     """Reachable, important symbols without an authorization rule (anti-join)."""
     guarded = rules.where("category = 'authorization'").select(F.col("source_function").alias("name")).distinct()
-    code, doc = F.coalesce("code", F.lit("")), F.lower(F.coalesce("docstring", F.lit("")))
-    weight = (F.col("score") > 0.4) | (F.col("mass") > 1.2) | F.col("exported")
-    api = code.rlike(API_MARKERS) | doc.rlike(API_WORDS) | F.col("exported")
-    own = ~F.lower("name").rlike(INTERNAL) & ~F.lower(F.coalesce("file", F.lit(""))).contains("test")
-    level = F.when(F.col("score") > 0.8, "CRITICAL").otherwise("HIGH")
-    return _finding(symbols.where(own & weight & api).join(guarded, "name", "left_anti"), 862, "Missing authorization", level, F.lit(True))
+    score = F.coalesce("score", F.lit(0.0))
+    weight = (score > 0.4) | (F.coalesce("mass", F.lit(0.0)) > 1.2) | F.coalesce("exported", F.lit(False))
+    api = _code().rlike(API_CODE) | _any(F.lower(F.coalesce("docstring", F.lit(""))), API_WORDS) | F.coalesce("exported", F.lit(False))
+    own = ~F.col("name").rlike(INTERNAL) & ~_any(F.lower(F.coalesce("file", F.lit("unknown"))), ("test",))
+    level = F.when(score > 0.8, "CRITICAL").otherwise("HIGH")
+    return symbols.where(own & weight & api).join(guarded, "name", "left_anti").select(F.inline(F.array(_finding(862, "Missing Authorization", level))))
 
 
 def incorrect_authorization(symbols: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules that name an owner whose function never compares or refuses."""
-    stated = rules.where((F.col("category") == "authorization") & F.lower("description").rlike("owner|sender|user_id|caller"))
-    first = symbols.groupBy("name").agg(F.min(F.struct("file", "code")).alias("s")).select("name", "s.file", "s.code")
-    both = stated.select(F.col("source_function").alias("name")).join(first, "name")
-    return _finding(both, 863, "Incorrect authorization", "HIGH", ~F.coalesce("code", F.lit("")).rlike("==|!=|if |assert|require|throw|raise"))
+    """Authorization rules that name an owner whose function (the first of its name by ``seq`` where symbols have it, else by file) never compares or refuses."""
+    stated = rules.where((F.col("category") == "authorization") & _any(F.lower("description"), OWNERS))
+    first = symbols.groupBy("name").agg(F.min_by(F.struct("file", "code"), F.struct(*[c for c in ("seq", "file", "code") if c in symbols.columns])).alias("s")).select("name", "s.file", "s.code")
+    both = stated.select(F.col("source_function").alias("name")).join(first, "name").where(~_any(F.lower(_code()), CHECKS))
+    return both.select(F.inline(F.array(_finding(863, "Incorrect Authorization (Potential Bypass)", "HIGH"))))
 
 
 def exposed_by_rule(symbols: DataFrame, rules: DataFrame) -> DataFrame:
-    """Sensitive symbols with an event or io rule that names no sanitiser."""
-    open_rules = rules.where(F.col("category").isin("event", "io") & ~F.lower("description").rlike(SANITISERS)).select(F.col("source_function").alias("name"))
-    hot = symbols.where(F.lower(F.concat_ws(" ", "name", "docstring")).rlike(SENSITIVE))
-    return _finding(hot.join(open_rules, "name"), 532, "Sensitive data exposed", "MEDIUM", F.lit(True))
+    """Sensitive symbols, by name or docstring, with each event or io rule that names no sanitiser."""
+    open_rules = rules.where(F.col("category").isin("event", "io") & ~_any(F.lower("description"), SANITISERS)).select(F.col("source_function").alias("name"))
+    hot = symbols.where(_any(F.lower("name"), SENSITIVE) | _any(F.lower(F.coalesce("docstring", F.lit(""))), SENSITIVE))
+    return hot.join(open_rules, "name").select(F.inline(F.array(_finding(532, "Sensitive Information Exposure", "MEDIUM"))))
 
 
 def sink_weakness(sink: Column) -> Column:
     """Weakness of a sink expression: the longest keyword that is a word of it, whatever the case."""
     out = F.lit(None).cast("int")
-    for key in sorted(SINKS, key=lambda k: (len(k), k)):
+    for key in reversed(sorted(SINKS, key=len, reverse=True)):  # of equally long ones the first listed
         pattern = "(?i)(^|[^A-Za-z0-9_])" + key.replace(".", "[.]") + "($|[^A-Za-z0-9_])"
         out = F.when(sink.rlike(pattern), F.lit(SINKS[key])).otherwise(out)
     return out
@@ -110,7 +126,7 @@ def tainted_sinks(flows: DataFrame) -> DataFrame:
 
 
 def from_warning(warning: Column) -> Column:
-    """struct(cwe, severity) of a warning text; the first part that fits decides."""
+    """struct(cwe, severity) of a warning text; the first part that fits decides, so a part that holds an earlier one is not listed."""
     low, out = F.lower(warning), F.lit(None).cast("struct<cwe:string,severity:string>")
     for part, cwe, severity in reversed(WARNINGS):
         out = F.when(low.contains(part), F.struct(F.lit(f"CWE-{cwe}").alias("cwe"), F.lit(severity).alias("severity"))).otherwise(out)
@@ -125,7 +141,6 @@ def parser_warnings(warnings: DataFrame) -> DataFrame:
 
 def all_scans(symbols: DataFrame, rules: DataFrame, flows: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """The union of all scans; those of flow paths and parser warnings where these are given."""
-    parts = [f(symbols, rules) for f in (missing_authorization, incorrect_authorization, exposed_by_rule)]
-    parts += [f(symbols) for f in (sensitive_in_logs, hardcoded_credentials, endless_loop, no_timeout, cleartext_storage)]
+    parts = [of_code(symbols), *(f(symbols, rules) for f in (missing_authorization, incorrect_authorization, exposed_by_rule))]
     parts += [f(x) for f, x in ((tainted_sinks, flows), (parser_warnings, warnings)) if x is not None]
     return reduce(DataFrame.unionByName, parts)
