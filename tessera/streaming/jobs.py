@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.beliefs import ARCHETYPES, FLOOR
+from tessera.operators.beliefs import ARCHETYPES, updated
 
 
 def activity(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
@@ -33,19 +33,6 @@ def watch(changes: DataFrame, rescore: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def updated(p: list[float], kind: str, tw: float) -> list[float]:
-    """One Bayesian step with the floor."""
-    raw = [x * (1 + tw if a == kind else 1 - tw / 2) for a, x in zip(ARCHETYPES, p, strict=True)]
-    p = [x / sum(raw) for x in raw]
-    for _ in ARCHETYPES:
-        low = [x <= FLOOR for x in p]
-        rest = sum(x for x, is_low in zip(p, low, strict=True) if not is_low)
-        if not any(low) or all(low):
-            break
-        p = [FLOOR if is_low else x * (1 - FLOOR * sum(low)) / rest for x, is_low in zip(p, low, strict=True)]
-    return p
-
-
 def belief_stream(observations: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Beliefs of (symbol, ts, kind, weight, trust) observations as state: one row a symbol and batch, each update O(1)."""
 
@@ -63,3 +50,17 @@ def belief_stream(observations: DataFrame, symbol: str = "symbol") -> DataFrame:
     return observations.groupBy(symbol).applyInPandasWithState(
         step, f"{symbol} {kind}, probabilities array<double>, support double, n int", "p array<double>, support double, n int", "update", "NoTimeout"
     )
+
+
+def monitor(
+    changes: DataFrame, rescore: Callable[[DataFrame, int], None], refresh: Callable[[DataFrame, int], None], checkpoint: str, check: str | None = "5 minutes", dependencies: str | None = "15 minutes"
+) -> list:
+    """Two queries over the changes with triggers of their own: one rescores, one refreshes dependencies; each resumes where its checkpoint is.
+
+    With intervals None both take what there is and the call returns when they have.
+    """
+    queries = [watch(changes, rescore, f"{checkpoint}/rescore", check), watch(changes, refresh, f"{checkpoint}/dependencies", dependencies)]
+    if check is None and dependencies is None:
+        for q in queries:
+            q.awaitTermination()
+    return queries
