@@ -70,3 +70,14 @@ def recency_eviction(events: DataFrame, user: str, key: str, ts: str, size: int)
     last = events.groupBy(user, key).agg(F.max(ts).alias("last"))
     rank = F.row_number().over(W.partitionBy(user).orderBy(F.desc("last"), key))
     return last.withColumn("recency", rank).withColumn("evicted", F.col("recency") > size)
+
+
+def drift_from_cached(events: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """``events`` with ``moved``: how far the value is from the one cached before for its key; null for a key's first."""
+    return events.withColumn("moved", F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def evicted_history(ranked: DataFrame, user: str, most: int = 100) -> DataFrame:
+    """The latest ``most`` evicted keys of each user, of what ``recency_eviction`` gives."""
+    at = F.row_number().over(W.partitionBy(user).orderBy("recency"))
+    return ranked.where("evicted").withColumn("age", at).where(F.col("age") <= most)
