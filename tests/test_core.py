@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import lint, scores, text
-from tessera.operators import beliefs, graph, relational, scans, vectors
+from tessera.functions import scores, text
+from tessera.operators import beliefs, graph, relational, scans, simulation, vectors
 from tessera.plans.queries import ORACLES, QUERIES
 from tessera.streaming import jobs
 
@@ -35,24 +35,6 @@ def test_text(spark):
     assert value(spark, text.best_category(F.split(F.lit("only the owner may access"), " "))) == "authorization"
 
 
-def broken(spark, code, **more):
-    known = {"name": "get_x", "signature": "", "docstring": "d", "path": "src/a.py", "kind": "Function"} | more
-    return set(value(spark, lint.warnings(code=F.lit(code), **{k: F.lit(v) for k, v in known.items()})))
-
-
-@pytest.mark.parametrize(
-    ("rule", "bad", "good"),
-    [
-        ("LR-11", "eval(x)", "evaluate(x)"), ("LR-13", "password = 'abc'", "password = ask()"), ("LR-14", "DEBUG = True", "DEBUG = False"),
-        ("LR-16", "requests.get(u)", "requests.get(u, timeout=1)"), ("LR-17", "while True:\n  go()", "while True:\n  break"), ("LR-21", "os.chmod(p, 0o777)", "os.chmod(p, 0o600)"),
-        ("LR-24", "global xs", "xs"), ("LR-27", "\n" * 60, "\n"), ("LR-30", "xs.push(1)", "xs.concat(1)"), ("LR-32", "y2 = 37", "y2 = 100"), ("LR-28", " " * 16 + "go", "go"),
-    ],
-)
-def test_lint(spark, rule, bad, good):
-    assert rule in broken(spark, bad)
-    assert rule not in broken(spark, good)
-
-
 def test_sinks(spark):
     assert value(spark, scans.sink_weakness(F.lit("mysqli_query($q)"))) == 89
     assert value(spark, scans.sink_weakness(F.lit("error_log(x)"))) == 532
@@ -95,7 +77,7 @@ def test_blocks_make_no_difference(spark):
     df = spark.createDataFrame(rows, "id long, vector array<double>, mass double")
 
     def kernel(a, b, cos):
-        return {"id": [r["id"] for r in a], "part": cos.sum(1)}
+        return {"id": a.ids, "part": cos.sum(1)}
 
     small, large = (
         {r["id"]: round(r["s"], 6) for r in vectors.block_pairs(df, kernel, "id long, part double", n).groupBy("id").agg(F.sum("part").alias("s")).collect()} for n in (7, 100)
@@ -105,7 +87,7 @@ def test_blocks_make_no_difference(spark):
 
 def test_simulation_moves(spark):
     df = spark.createDataFrame([(i, 1.0, float(i % 5), float(i // 5), 0.0, 0.0) for i in range(25)], "id long, mass double, x double, y double, vx double, vy double")
-    out = vectors.simulate(df, 2).collect()
+    out = simulation.grid_steps(df, 2).collect()
     assert len(out) == 25 and all(math.isfinite(r["x"]) and math.isfinite(r["vy"]) for r in out)
 
 
@@ -129,7 +111,7 @@ def test_query_matches_sql(spark, name):
         assert len(got)
         return
     con = duckdb.connect()
-    for t in "customer supplier part orders lineitem events documents embeddings pages".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages".split():
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLES[name]).df()[list(got.columns)]
     cell = lambda x: None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float, np.number)) else str(x)

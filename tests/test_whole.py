@@ -55,9 +55,9 @@ def test_walks_start_from_every_node(spark, tmp_path):
                 found |= {(start, x): depth for x in front}
         return found
 
-    rings = {(r["start"], r["node"]): ["direct", "secondary", "tertiary"].index(r["ring"]) + 1 for r in QUERIES["blast_radius_all"](spark, str(tmp_path)).collect()}
+    rings = {(r["start"], r["node"]): ["direct", "secondary", "tertiary"].index(r["ring"]) + 1 for r in QUERIES["blast_radius"](spark, str(tmp_path)).collect()}
     assert rings == walked(out)
-    both = {(r["start"], r["node"]): r["depth"] for r in QUERIES["call_path_trace_all"](spark, str(tmp_path)).collect()}
+    both = {(r["start"], r["node"]): r["depth"] for r in QUERIES["call_path_trace"](spark, str(tmp_path)).collect()}
     assert both == walked(out | {(b, a) for a, b in out})
 
 
@@ -65,20 +65,20 @@ def test_branch_diff_takes_every_source_and_length(spark, tmp_path):
     texts = ["same size", "equal len", "some text", "  ", "more text", "line text", "last text", "next text"]
     rows = [(i, t, f"src{i + 17}", len(t)) for i, t in enumerate(texts)]
     pd.DataFrame(rows, columns=["doc_id", "text", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
-    got = {r["path"]: r["change"] for r in QUERIES["branch_diff_all"](spark, str(tmp_path)).collect()}
+    got = {r["path"]: r["change"] for r in QUERIES["branch_diff"](spark, str(tmp_path)).collect()}
     assert got == {0: "deleted", 1: "added", 2: "same", 3: "same", 4: "deleted", 5: "added", 6: "same", 7: "modified"}
 
 
 def test_rules_gates_and_labels_take_every_row(spark, tmp_path):
     d = str(tmp_path)
-    pd.DataFrame({"l_orderkey": [3, 6, 7, 10], "l_linenumber": [4, 4, 1, 4], "l_partkey": [1, 1, 2, 3], "l_suppkey": [8, 9, 8, 8]}).to_parquet(tmp_path / "lineitem.parquet")
-    orders = pd.DataFrame({"o_orderkey": [3, 4, 6, 10, 15, 22]})  # 3, 6, 10: with an authorization rule that names the owner where divisible by 3
+    pd.DataFrame({"l_orderkey": [3, 7, 17, 10], "l_linenumber": [4, 1, 1, 4], "l_partkey": [1, 1, 2, 3], "l_suppkey": [8, 9, 8, 8]}).to_parquet(tmp_path / "lineitem.parquet")
+    orders = pd.DataFrame({"o_orderkey": [3, 4, 10, 15, 22]})  # 3, 10: with an authorization rule, which names the owner where divisible by 3
     orders.to_parquet(tmp_path / "orders.parquet")
     pd.DataFrame({"event_id": [1, 2, 3]}).to_parquet(tmp_path / "events.parquet")
-    assert {r["function"] for r in QUERIES["incorrect_authorization_all"](spark, d).collect()} == {"fn_3", "fn_6"}
-    assert {r["function"] for r in QUERIES["missing_authorization_all"](spark, d).collect()} == {"fn_15", "fn_22"}
-    assert {(r["node"], r["callers"]) for r in QUERIES["auth_gates_all"](spark, d).collect()} == {(1, 2)}
-    labels = QUERIES["taint_labels_all"](spark, d).collect()
+    assert {r["function"] for r in QUERIES["incorrect_authorization"](spark, d).collect()} == {"fn_3"}
+    assert {r["function"] for r in QUERIES["missing_authorization"](spark, d).collect()} == {"fn_15", "fn_22"}
+    assert {(r["node"], r["callers"]) for r in QUERIES["auth_gates"](spark, d).collect()} == {(1, 2)}
+    labels = QUERIES["taint_labels"](spark, d).collect()
     assert len(labels) == 10 and {r["hits"] for r in labels} == {3}
 
 
@@ -100,8 +100,8 @@ def test_searches_take_every_query(spark, tmp_path, monkeypatch):
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
     mass = np.array([1 + 0.3 * (i % 3 or 1) + 0.5 * (i % 2) + 2.0 * (i % 5 == 0) for i in ids])
-    top = {(r["query"], r["rank"]): (r["id"], r["similarity"]) for r in QUERIES["vector_search_top10_all"](spark, str(tmp_path)).collect()}
-    pairs = {(r["query"], r["id"]): r["force"] for r in QUERIES["entangled_pairs_all"](spark, str(tmp_path)).collect()}
+    top = {(r["query"], r["rank"]): (r["id"], r["similarity"]) for r in QUERIES["vector_search_top10"](spark, str(tmp_path)).collect()}
+    pairs = {(r["query"], r["id"]): r["force"] for r in QUERIES["entangled_pairs"](spark, str(tmp_path)).collect()}
     want = {}
     for query in (100, 200, 300, 400):
         cos = unit @ unit[query - 3]
