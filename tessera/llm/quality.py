@@ -82,10 +82,18 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def train(
-    examples: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5
-) -> Model:
-    """Follow-the-regularised-leader (proximal, per-coordinate rates) over (features, values, label) in a fixed random order."""
+@dataclass
+class Examples:
+    """Features, values and labels of all examples, end to end; ``stop`` is where each ends."""
+
+    at: np.ndarray
+    value: np.ndarray
+    stop: np.ndarray
+    label: np.ndarray
+
+
+def train(examples: Examples, passes: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
+    """Follow-the-regularised-leader (proximal, per-coordinate rates) over the examples in a fixed random order."""
     size = (1 << BITS) + 1  # the last coordinate is the bias
     z, n = np.zeros(size), np.zeros(size)
     rng = np.random.default_rng(5)
@@ -94,12 +102,13 @@ def train(
         small = np.abs(z[at]) <= l1
         return np.where(small, 0.0, (np.sign(z[at]) * l1 - z[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
+    begin = np.concatenate([[0], examples.stop[:-1]]).astype(int)
     for _ in range(passes):
-        for i in rng.permutation(len(examples)):
-            at, value, label = examples[i]
+        for i in rng.permutation(len(examples.label)):
+            at, value = examples.at[begin[i] : examples.stop[i]], examples.value[begin[i] : examples.stop[i]].astype(float)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ value, -30, 30)))
-            g = (p - label) * value
+            g = (p - examples.label[i]) * value
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
@@ -151,11 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = rows.mapInArrow(featured, f"doc_id {id_type}, label int, at binary, value binary")
     found = found.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "at").limit(most).select("label", "at", "value")
-    examples = [
-        (np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float), r["label"])
-        for r in found.toLocalIterator()
-    ]
-    return train(examples, **how)
+    at, value, stop, label_ = bytearray(), bytearray(), [], []
+    for r in found.toLocalIterator():  # at most ``most`` rows, kept end to end
+        at += r["at"]
+        value += r["value"]
+        stop.append(len(at) // 4)
+        label_.append(r["label"])
+    return train(Examples(np.frombuffer(at, np.int32), np.frombuffer(value, np.float32), np.array(stop, np.int64), np.array(label_)), **how)
 
 
 def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
