@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .fingerprint import HEAD, PARAGRAPH, SMALL
-from .queries import CURRICULUM, VOCABULARY
+from .mixing import CURRICULUM
+from .queries import VOCABULARY
 from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, LOGIN, LOOSE
 
 ORACLES: dict[str, str] = {}

@@ -15,13 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Weights 3, 1 and 2 over training time: the first source's falls, the third's rises.
-CURRICULUM = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)))
-
-
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed along ``CURRICULUM``: sizes, targets, words taken and training times of the first and the last pass."""
-    return mixing.mix_sources(read(spark, sf_dir, "documents"), CURRICULUM).select(
+    """All documents mixed along ``mixing.CURRICULUM``: sizes, targets, words taken and training times of the first and the last pass."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents"), mixing.CURRICULUM).select(
         "doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("last_position", 9).alias("last_position")
     )
 

@@ -218,6 +218,68 @@ def test_quality_held_out(spark):
     assert {r["score"] for r in quality.quality_scores(docs(spark, "a", None), blank).collect()} == {0.5}
 
 
+def test_quality_is_the_plain_algorithm(spark):
+    """Feature hashes, training and scores in plain loops over whole numbers and floats."""
+    from tessera.llm import words as h
+
+    full, letters = (1 << 64) - 1, [int(x) for x in h._LETTERS]
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def word(w):
+        return mix(sum(letters[b] * pow(h._BASE, j, 1 << 64) for j, b in enumerate(w)) + len(w) & full)
+
+    def shape(w):
+        kinds = [48 if 48 <= b < 58 else 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else b for b in w]
+        kinds = [k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]]
+        return mix(sum(mix(k * h._BASE + j & full) for j, k in enumerate(kinds)) & full)
+
+    def features(text):
+        ws = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+        out = []
+        for salt, of in ((1, word), (2, shape)):
+            one = [of(w) for w in ws]
+            out += [mix(x + salt & full) for x in one] + [mix(a * h._BASE + b + salt + 2 & full) for a, b in zip(one, one[1:], strict=False)]
+        return [x >> 46 for x in out + [mix(7)] * sum(a == b for a, b in zip(ws, ws[1:], strict=False))]
+
+    texts = ["Good plain text here.", "BUY now now now!!! $$$", "", None, "Ünïcode words 12 a1B2", "one one two", "Another good sentence, quite plain."] * 3
+    labels = [1, 0, 0, 1, 1, 0, 1] * 3
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality.fit(d, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"))
+    import hashlib
+    import zlib
+
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = sorted(used, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    z, n = {}, {}
+
+    def weight(k):
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= 0.02 else ((0.02 if x > 0 else -0.02) - x) / (1.0 + n.get(k, 0.0) ** 0.5 + 0.5)
+
+    rng = np.random.default_rng(5)
+    for _ in range(4):
+        for j in rng.permutation(len(order)):
+            fs = features(texts[order[j]])
+            x = {k: float(np.float32(fs.count(k) / max(len(fs), 1) ** 0.5)) for k in set(fs)} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                g = (p - labels[order[j]]) * x[k]
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_scores(d, got).collect()}
+    for i, t in enumerate(texts):
+        fs = features(t)
+        want = 1 / (1 + np.exp(-(weight("bias") + sum(weight(k) for k in fs) / max(len(fs), 1) ** 0.5)))
+        assert scores[i] == pytest.approx(want, abs=1e-5)
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "Bob wrote:\n> how ARE you\nFine."), (1, 2, "user", ">> How are you?\n> Fine.\nGood!"),
@@ -295,7 +357,7 @@ def test_kept_columns_may_clash(spark):
     r = mixing.mix_sources(d, keep=names).first().asDict()
     assert (r["size"], r["key"], r["run"], r["kept_position"], r["kept_size"]) == (2, "c", "d", "i", "k")
     assert secrets.secret_spans(d, keep=tuple(names)).first().asDict()["kept_spans"] == "g"
-    r = quality.quality_scores(d, quality.train([]), keep=tuple(names)).first().asDict()
+    r = quality.quality_scores(d, quality.train(quality.Examples(*[np.empty(0, np.int64)] * 4)), keep=tuple(names)).first().asDict()
     assert (r["score"], r["kept_kept_score"], r["kept_score"]) == (0.5, "h", "j") or (r["score"], r["kept_score"]) == (0.5, "j")
     assert token_counts.token_counts(d, queries.VOCABULARY, keep=("n_words", "items")).first().asDict()["kept_n_words"] == "f"
 
@@ -383,6 +445,80 @@ def test_main_text(spark):
     assert right / n > 0.98
 
 
+def test_labeller_is_the_plain_network():
+    """Block by block in plain loops, forth and back."""
+    rng = np.random.default_rng(4)
+    model = html_blocks.trained()
+    sizes = html_blocks.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for _ in range(3):
+        page = html_blocks.read(html_blocks.blocks(html_blocks.made_up_page(rng)[0]))
+        inputs, path_at, word_at = [], 0, 0
+        for i, (p, w) in enumerate(zip(page.n_paths, page.n_words, strict=True)):
+            mean = lambda table, ids: np.mean([table[j] for j in ids], axis=0) if len(ids) else np.zeros(table.shape[1])
+            inputs.append(np.concatenate([mean(model.p["paths"], page.paths[path_at : path_at + p]), mean(model.p["words"], page.words[word_at : word_at + w]), page.figures[i]]))
+            path_at, word_at = path_at + p, word_at + w
+        states = {}
+        for d in "fb":
+            h, c, out = np.zeros(sizes), np.zeros(sizes), {}
+            for t in range(len(inputs)) if d == "f" else range(len(inputs) - 1, -1, -1):
+                z = inputs[t] @ model.p[f"x{d}"] + h @ model.p[f"h{d}"] + model.p[f"c{d}"]
+                c = sig(z[sizes : 2 * sizes]) * c + sig(z[:sizes]) * np.tanh(z[3 * sizes :])
+                h = sig(z[2 * sizes : 3 * sizes]) * np.tanh(c)
+                out[t] = h
+            states[d] = out
+        want = [sig(np.concatenate([states["f"][t], states["b"][t]]) @ model.p["out"][:, 0] + model.p["bias"][0]) for t in range(len(inputs))]
+        assert model.score([page])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_main_text_of_all_pages(spark):
+    """Against another reader: what the pages have in their articles, by tag, without what is named as menu, advert, notice or comment."""
+    from html.parser import HTMLParser
+
+    apart = {"p", "h1", "h2", "h3", "h4", "li", "div", "article", "section", "blockquote", "pre", "td", "ul", "ol", "table", "tr"}
+    odd = re.compile(r"\b(nav|menu|footer|sidebar|side|ad|ads|advert|cookie|banner|comment|comments|related|share|promo|breadcrumb)s?\b")
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks, self.now = [], [], ""
+
+        def end(self):
+            said = " ".join(self.now.split())
+            bad = any(t in ("nav", "footer", "aside", "script", "style", "head", "form", "header") or odd.search(c) for t, c in self.stack)
+            if said and not bad:
+                self.blocks.append(said)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in apart or tag in ("nav", "footer", "aside", "script", "style", "head", "form", "header", "body"):
+                self.end()
+            if tag == "br":
+                self.now += " "
+            if tag not in ("br", "meta", "img", "link", "hr", "input", "p", "li"):
+                self.stack.append((tag, " ".join(v or "" for k, v in attrs if k in ("class", "id"))))
+
+        def handle_endtag(self, tag):
+            if tag in apart or tag in ("nav", "footer", "aside", "script", "style", "head", "form", "header", "body"):
+                self.end()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            self.now += data
+
+    same = n = 0
+    for r in queries.op9_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), ["page_id", "url"]).collect():
+        reader = Reader()
+        reader.feed(r["html"])
+        reader.close()
+        reader.end()
+        got, want = set(r["text"].split("\n\n")), set(reader.blocks)
+        same, n = same + len(got & want), n + len(got | want)
+    assert same / n > 0.97, (same, n)
+
+
 def test_labeller_gradient():
     rng = np.random.default_rng(1)
     pages = [html_blocks.read(html_blocks.blocks(html_blocks.made_up_page(rng)[0])) for _ in range(3)]
