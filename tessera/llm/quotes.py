@@ -74,14 +74,14 @@ def link_quotations(
     messages repeat is one row for each conversation. An empty table gives an empty result.
     """
     m = messages.select(
-        F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), _lines(F.col(text).cast("string")).alias("lines")
+        F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    kept = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"])
-    m = m.withColumns({"reply": F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""), "passages": _passages(F.col("lines"))})
     told = [F.xxhash64("piece").alias("hash"), F.sha1(F.col("piece").cast("binary")).alias("sha")]
+    may_quote = F.contains("text", F.lit(">"))
+    parsed = lambda of: of.withColumn("lines", _lines(F.col("text"))).withColumn("passages", _passages(F.col("lines")))
     quoted = F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p, i: F.struct(i.alias("i"), p["level"].alias("level"), _pieces(p["text"]).alias("pieces")))
     quoted = (
-        m.where(F.col("turn").isNotNull() & F.exists("passages", lambda p: p["level"] > 0))
+        parsed(m.where(F.col("turn").isNotNull() & may_quote))
         .select("conv_id", "turn", F.monotonically_increasing_id().alias("row"), F.explode(quoted).alias("q"))
         .select("conv_id", "turn", "row", "q.i", "q.level", F.explode("q.pieces").alias("piece"))
         .select("conv_id", "turn", "row", "i", "level", F.length("piece").alias("size"), *told)
@@ -90,7 +90,10 @@ def link_quotations(
     wanted = quoted.select("conv_id", "hash", "sha").distinct()
     key = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.sha") == F.col(f"{b}.sha"))
     unquoted = F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: _pieces(p["text"])))
-    said = m.where("turn is not null").select("conv_id", "turn", F.explode(unquoted).alias("piece"))
+    # Only conversations in which something is quoted are looked through for where it comes from.
+    quoting = quoted.select("conv_id").distinct().alias("q")
+    asked = m.where("turn is not null").alias("m").join(quoting, F.col("m.conv_id").eqNullSafe(F.col("q.conv_id")), "left_semi")
+    said = parsed(asked).select("conv_id", "turn", F.explode(unquoted).alias("piece"))
     said = said.groupBy("conv_id", *told).agg(F.min("turn").alias("source"))
     said = said.alias("s").join(wanted.alias("w"), key("s", "w"), "left_semi")
     links = quoted.alias("q").join(said.alias("s"), key("q", "s") & (F.col("s.source") < F.col("q.turn")), "left")
@@ -115,7 +118,11 @@ def link_quotations(
         jump = step.drop("moved")
         if not moved:
             break
-    base, j = m.alias("m"), jump.alias("j")
+    # A text without > has no quoted line, and so none that announces one.
+    own = F.array_join(F.transform(F.filter(_lines(F.col("text")), lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
+    plain = F.regexp_replace(F.translate("text", _BEGIN + _LEVEL, "  "), r"\r\n", "\n")
+    reply = F.regexp_replace(F.when(may_quote, own).otherwise(plain), r"^\s+|\s+$", "")
+    base, j = m.select("conv_id", "turn", "role", reply.alias("reply")).alias("m"), jump.alias("j")
     rows = base.join(j, F.col("m.conv_id").eqNullSafe(F.col("j.conv_id")) & (F.col("m.turn") == F.col("j.turn")), "left").select(
         "m.conv_id", "m.turn", "m.role", "m.reply", "j.parent",
         F.coalesce("j.root", "m.turn").alias("root"), F.coalesce("j.depth", F.lit(0)).cast("int").alias("depth"),
