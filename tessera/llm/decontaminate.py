@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, kept
+from .shared import checkpointed, kept, text_of, with_text
 from .words import ALNUM, Words, buffers, grams, mix, slices, words
 
 #: Benchmark words that are sent to the executors at once (8 bytes each and as much again for
@@ -162,12 +162,12 @@ _FOUND = "n_words long, items array<string>, hits array<int>"
 OUTPUTS = ("doc_id", "n_words", "n_hit", "items", "hits")
 
 
-def _scan(batches: Iterator[pa.RecordBatch], sent, window: int, k: int, through: tuple[str, ...], only_hit: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], sent, text: str, window: int, k: int, through: tuple[str, ...], only_hit: bool) -> Iterator[pa.RecordBatch]:
     """The columns ``through`` and what was found of each row, or of the rows that something was found of."""
     ids = [x[0] for x in sent.value]
     bench = Benchmark(ids, words(*buffers(pa.array([x[1] for x in sent.value], pa.string())), ALNUM), window, k)
     for batch in batches:
-        texts = batch.column("__text")
+        texts = text_of(batch, text)
         for a, b in slices(texts):
             w = words(*buffers(texts[a:b]), ALNUM)
             hit, rows, items = bench.hits(w)
@@ -211,7 +211,7 @@ def contamination(
     spark = docs.sparkSession
     body = F.col(text).cast("string")
     whole, out = kept(docs, keep, OUTPUTS)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("__text"), F.xxhash64(F.col(doc_id), body).alias("__row"), whole)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *with_text(docs, text, keep), F.xxhash64(F.col(doc_id), body).alias("__row"), whole)
     item = F.col(item_text).cast("string")
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), item.alias("text"))
     n_words = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1), F.lit(0))).first()[0]
@@ -220,7 +220,7 @@ def contamination(
 
     def searched(slice_: DataFrame, source: DataFrame, through: tuple[str, ...], only_hit: bool) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast([tuple(r) for r in slice_.toLocalIterator()])  # about slice_words words, or one longer item
-        return source.mapInArrow(lambda b: _scan(b, sent, window, k, through, only_hit), f"{field(through)}, {_FOUND}"), sent
+        return source.mapInArrow(lambda b: _scan(b, sent, text, window, k, through, only_hit), f"{field(through)}, {_FOUND}"), sent
 
     if n_slices == 1:
         rows, _ = searched(items, rows, ("doc_id", "__kept"), False)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, text_of, with_text
 from .words import _BASE, SPACED, Words, buffers, mix, slices, words
 
 #: Labelled rows that training takes at most: those whose MD5 of the doc_id is least, whatever the size of the tables.
@@ -178,11 +178,11 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", doc_id: st
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2**BITS weights of 4 bytes
     whole, out = kept(docs, keep, ("doc_id", "score"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), whole)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *with_text(docs, text, keep), whole)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array(sent.value.score(batch.column("__text")), pa.float64())
+            score = pa.array(sent.value.score(text_of(batch, text)), pa.float64())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": score, "__kept": batch.column("__kept")})
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -6,6 +6,7 @@ import posixpath
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def with_text(docs: DataFrame, text: str, keep: Sequence[str]) -> list[Column]:
+    """The text as ``__text``, unless it is a string among the kept columns already: then it goes to Python once. See ``text_of``."""
+    again = text in keep and docs.schema[text].dataType.typeName() == "string"
+    return [] if again else [F.col(f"`{text}`").cast("string").alias("__text")]
+
+
+def text_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """The text column of a batch of ``__kept`` and what ``with_text`` gives."""
+    return batch.column("__text") if "__text" in batch.schema.names else batch.column("__kept").field(text)
+
+
 def kept(docs: DataFrame, keep: Sequence[str], outputs: Sequence[str]) -> tuple[Column, list[Column]]:
     """The columns to keep as one struct ``__kept``, whose fields no other column clashes with, and what takes them out again.
 
