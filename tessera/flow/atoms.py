@@ -14,6 +14,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Patterns of the language's constructs.
 _HIDDEN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\r\n]*|#[^\r\n]*|(['\"])(?:\\.|(?!\1).)*(?:\1|\Z)", re.S)
@@ -232,3 +233,12 @@ def atoms(symbols: DataFrame, symbol: str = "symbol", code: str = "code", langua
     rows = symbols.where((symbols[language] == "php") & symbols[code].isNotNull()).select(symbols[symbol].alias("symbol"), symbols[code].cast("string").alias("code"))
     kind = rows.schema["symbol"].dataType.simpleString()
     return rows.mapInArrow(run, f"symbol {kind}, ordinal int, " + ", ".join(f"{c} {'int' if c in ('pos', 'line') else 'string'}" for c in COLUMNS))
+
+
+def made_up_states(found: DataFrame) -> DataFrame:
+    """src, dst, ordinal, condition: edges from a symbol to the states that its includes, redirects and sinks stand for (see ``atoms``), as a behaviour map takes them."""
+    made = found.where(F.col("type").isin("synthesized_call", "sink"))
+    said = F.when(F.col("type") == "sink", F.concat(F.lit("["), "name", F.lit("] "), F.coalesce("args", F.lit("")))).when(
+        F.col("verb") == "redirect", F.concat(F.lit("Redirect: "), "value")
+    ).otherwise(F.concat(F.lit("["), "verb", F.lit("] "), "value"))
+    return made.select(F.col("symbol").cast("string").alias("src"), said.alias("dst"), (F.lit(1 << 20) + F.col("ordinal")).alias("ordinal"), F.lit(None).cast("string").alias("condition"))

@@ -29,13 +29,13 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out
     for level in range(1, depth + 1):
         step = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
-        frontier = checkpointed(frontier) if level % 3 == 0 else frontier
+        frontier = checkpointed(frontier) if level < depth else frontier
         seen = seen.union(frontier)
     return seen.where("depth > 0")
 
 
 def blast_radius(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """start, node, ring: direct, secondary or tertiary."""
+    """start, node, ring: direct, secondary or tertiary, each node once at its least depth; the start itself is in no ring, even if a cycle leads back to it."""
     names = F.get(F.array(F.lit("direct"), F.lit("secondary"), F.lit("tertiary")), F.col("depth") - 1)
     return reach(edges, start, 3).select("start", "node", names.alias("ring"))
 
@@ -82,9 +82,3 @@ def gates(edges: DataFrame, sensitive: Column, least: int = 2) -> DataFrame:
     """node, callers, gate_confidence of callees that ``sensitive`` holds for and that have ``least`` callers or more."""
     n = edges.where(sensitive).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers"))
     return n.where(F.col("callers") >= least).withColumn("gate_confidence", F.least(F.lit(1.0), F.col("callers") / 10))
-
-
-def tainted_reach(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 10) -> DataFrame:
-    """source, sink, depth: sinks that taint from a source gets to, first by least depth."""
-    found = reach(edges, sources, depth)
-    return found.join(sinks.select(F.col(sinks.columns[0]).alias("node")).distinct(), "node").select(F.col("start").alias("source"), F.col("node").alias("sink"), "depth")

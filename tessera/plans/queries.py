@@ -813,3 +813,8 @@ def entrypoints_found(spark, d):
     second = p.where("page_id < 5").select(F.concat(F.lit("src/"), pick(k % 5, "main.py", "index.php", "config.inc.php", ".env.dist", "other.py")).alias("path"), F.lit("x").alias("content"))
     config = spark.createDataFrame([("package.json", '{"main": "lib/a.js", "bin": {"tool": "bin\\\\b.js"}}'), ("pyproject.toml", '[project.scripts]\ngo = "pkg.cli:run"\n'), ("Cargo.toml", "broken [")], "path string, content string")
     return entrypoints.entrypoints(first.union(second).distinct().union(config))
+
+
+@query(f"""select o_orderkey::varchar src, dst from orders join (values (0, '[echo] $id'), (1, '[echo] $a'), (2, '[print] $q'), (4, '[include] $p')) v(k, dst) on o_orderkey % {len(PHP)} = k""")
+def made_up_states(spark, d):
+    return atoms.made_up_states(atoms.atoms(php_symbols(spark, d))).select("src", "dst")
