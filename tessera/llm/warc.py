@@ -24,8 +24,8 @@ from .shared import checkpointed
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: An archive is closed at so many compressed bytes or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 4096
-#: The dictionary of DICTIONARY_BYTES that all archives of a write begin with is trained on the SAMPLE records of SAMPLE_BYTES at most
-#: whose hash is least, and on as many made-up ones, so that there is one however little is written.
+#: The dictionary of DICTIONARY_BYTES that all archives of a write begin with is trained on up to SAMPLE pages, those whose
+#: id's and address's hash is least, of SAMPLE_BYTES at most, and on as many made-up ones, so that there is one however little is written.
 DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 10, 256, 16 << 10
 #: What a record says of a page beside the standard headers.
 PAGE, REFERS, LENGTH = "X-Page-Id", "X-Refers-To-Page", "X-Payload-Length"
@@ -202,8 +202,12 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0, page_id: str
     joined = rows.join(some, "sha", "left")
     joined = joined.withColumn("revisit", F.col("again").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("response")))
 
-    likely = rows.where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("sha", "url"), "sha").select("url", "html").limit(SAMPLE)
-    shared = rows.sparkSession.sparkContext.broadcast(dictionary([record("0", r["url"], r["html"].encode(), None, False) for r in likely.collect()]))
+    # The sample is found by its keys, 8 bytes each, which need no payload.
+    place = F.xxhash64(F.col(page_id), F.col(url))
+    least = [r[0] for r in pages.select(place.alias("place")).orderBy("place").limit(SAMPLE).collect()]
+    likely = pages.where(place <= (least[-1] if least else 0)).select(F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    likely = likely.where(F.octet_length("html") <= SAMPLE_BYTES).limit(SAMPLE).collect()
+    shared = rows.sparkSession.sparkContext.broadcast(dictionary([record("0", r["url"], r["html"].encode(), None, False) for r in likely]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every() -> Iterator[bytes]:
