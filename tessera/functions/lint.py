@@ -103,10 +103,16 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def findings(code: Column, name: Column, signature: Column, docstring: Column, path: Column, kind: Column, language: Column) -> dict[str, Column]:
-    """The warnings of each rule, by identifier, in the order in which a record's warnings come; nulls are empty."""
+    """The warnings of each rule, by identifier, in the order in which a record's warnings come; nulls are empty.
+
+    For single rules; ``warnings`` and ``broken`` strip a record's code once for all of them.
+    """
+    plain = without_comments(F.coalesce(code, F.lit("")))
+    return _findings(code, name, signature, docstring, path, kind, language, plain, without_strings(plain))
+
+
+def _findings(code: Column, name: Column, signature: Column, docstring: Column, path: Column, kind: Column, language: Column, plain: Column, bare: Column) -> dict[str, Column]:
     code, signature, path, docstring = (F.coalesce(x, F.lit("")) for x in (code, signature, path, docstring))
-    plain = without_comments(code)
-    bare = without_strings(plain)
     out: dict[str, Column] = {}
 
     def warn(rule: str, broken: Column, text: str | Column) -> None:
@@ -167,11 +173,23 @@ def findings(code: Column, name: Column, signature: Column, docstring: Column, p
     return dict(sorted(out.items()))
 
 
+def _once(columns: dict[str, Column], combine) -> Column:
+    """What ``combine`` makes of the findings of a record, whose code without comments and strings is made once."""
+    names = list(columns)
+    record = F.struct(*[columns[n].alias(n) for n in names], without_comments(F.coalesce(columns["code"], F.lit(""))).alias("plain"))
+
+    def of(r: Column) -> Column:
+        return F.struct(*[r[n].alias(n) for n in (*names, "plain")], without_strings(r["plain"]).alias("bare"))
+
+    whole = F.transform(F.transform(F.array(record), of), lambda r: combine(_findings(**{n: r[n] for n in (*names, "plain", "bare")})))
+    return F.get(whole, 0)
+
+
 def warnings(**columns: Column) -> Column:
     """The texts of all warnings of a record; see ``findings`` for the columns."""
-    return F.flatten(F.array(*findings(**columns).values()))
+    return _once(columns, lambda found: F.flatten(F.array(*found.values())))
 
 
 def broken(**columns: Column) -> Column:
     """The identifiers of all rules broken, sorted."""
-    return F.array_compact(F.array(*[F.when(F.size(w) > 0, F.lit(rule)) for rule, w in findings(**columns).items()]))
+    return _once(columns, lambda found: F.array_compact(F.array(*[F.when(F.size(w) > 0, F.lit(rule)) for rule, w in found.items()])))
