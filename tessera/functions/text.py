@@ -17,12 +17,26 @@ LANGUAGES = {
 
 # Keywords of each rule category, categories in the order that decides ties.
 RULE_KEYWORDS = {
-    "validation": "valid validate validates check checks verify verifies ensures assert require constraint schema format length range zero null empty invalid sanitize",
-    "authorization": "owner only access permission role admin authorize authorized restrict restricted privilege onlyowner requires caller sender whitelist blacklist",
-    "computation": "calculate calculates compute computes hash sign encrypt multiply divide sum average aggregate formula interest price score weight balance",
-    "io": "fetch read write save load store database db http api request response upload download file stream socket network send receive",
-    "event": "emit emits event log logs notify notification trigger dispatch publish broadcast webhook callback",
-}
+    "validation": (
+        "valid", "validate", "validates", "check", "checks", "verify", "verifies", "ensures", "assert", "require", "constraint", "schema", "format",
+        "length", "range", "zero", "null", "empty", "invalid", "sanitize",
+    ),
+    "authorization": (
+        "owner", "only", "access", "permission", "role", "admin", "authorize", "authorized", "restrict", "restricted", "privilege", "onlyowner",
+        "requires", "caller", "sender", "whitelist", "blacklist",
+    ),
+    "computation": (
+        "calculate", "calculates", "compute", "computes", "hash", "sign", "encrypt", "multiply", "divide", "sum", "average", "aggregate", "formula",
+        "interest", "price", "score", "weight", "balance",
+    ),
+    "io": (
+        "fetch", "read", "write", "save", "load", "store", "database", "db", "http", "api", "request", "response", "upload", "download", "file",
+        "stream", "socket", "network", "send", "receive",
+    ),
+    "event": (
+        "emit", "emits", "event", "log", "logs", "notify", "notification", "trigger", "dispatch", "publish", "broadcast", "webhook", "callback",
+    ),
+}
 
 # Name patterns and the label each gives, first match wins.
 TAINT_LABELS = (
@@ -85,7 +99,7 @@ def category_scores(words: Column) -> dict[str, Column]:
     """Score of each rule category: keyword hits over a tenth of its keywords (one at least), 1 at most."""
     out = {}
     for category, keys in RULE_KEYWORDS.items():
-        keys = sorted(set(keys.split()))
+        keys = sorted(set(keys))
         hits = F.size(F.array_intersect(F.array_distinct(words), F.array(*map(F.lit, keys))))
         out[category] = F.least(hits / F.lit(max(0.1 * len(keys), 1.0)), F.lit(1.0))
     return out

@@ -196,8 +196,14 @@ def cwe_severity_matrix(spark, d):
 
 # ---------------------------------------------------------------- text
 
-_CATS = {c: sorted(set(k.split())) for c, k in text.RULE_KEYWORDS.items()}
-_CAT_SQL = ", ".join(f"round(least(len(list_intersect(w, {ks!r})) / {max(0.1 * len(ks), 1.0)}::double, 1.0), 6) \"{c}\"" for c, ks in _CATS.items())
+_WORDS = (
+    ("validation", "2.0", "valid validate validates check checks verify verifies ensures assert require constraint schema format length range zero null empty invalid sanitize".split()),
+    ("authorization", "1.7", "owner only access permission role admin authorize authorized restrict restricted privilege onlyowner requires caller sender whitelist blacklist".split()),
+    ("computation", "1.8", "calculate calculates compute computes hash sign encrypt multiply divide sum average aggregate formula interest price score weight balance".split()),
+    ("io", "2.0", "fetch read write save load store database db http api request response upload download file stream socket network send receive".split()),
+    ("event", "1.3", "emit emits event log logs notify notification trigger dispatch publish broadcast webhook callback".split()),
+)
+_CAT_SQL = ", ".join(f"round(least(len(list_intersect(w, {ks!r})) / {least}::double, 1.0), 6) \"{c}\"" for c, least, ks in _WORDS)
 
 
 @query(f"with d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z_]+')) w from documents) select doc_id, {_CAT_SQL} from d")
@@ -214,7 +220,9 @@ def keyword_rules(spark, d):
     return r.select("doc_id", F.size("r").cast("long").alias("n_rules"), F.sha2(F.array_join("r", "\n").cast("binary"), 256).alias("rules"))
 
 
-_LANG_SQL = "case " + " ".join(f"when ends_with(p, '{s}') then '{n}'" for s, n in text.LANGUAGES.items()) + " else 'generic' end"
+_LANG_SQL = """case when regexp_matches(p, '[.]py$') then 'python' when regexp_matches(p, '[.]jsx?$') then 'javascript' when regexp_matches(p, '[.]tsx?$') then 'typescript' when regexp_matches(p, '[.]sol$') then 'solidity' when regexp_matches(p, '[.]go$') then 'go'
+when regexp_matches(p, '[.]rs$') then 'rust' when regexp_matches(p, '[.]java$') then 'java' when regexp_matches(p, '[.]rb$') then 'ruby' when regexp_matches(p, '[.]php$') then 'php' when regexp_matches(p, '[.](c|cpp|h|hpp|cc|cxx)$') then 'cpp'
+when regexp_matches(p, '[.]ya?ml$') then 'yaml' when regexp_matches(p, '[.]toml$') then 'toml' when regexp_matches(p, '[.]json$') then 'json' else 'generic' end"""
 
 
 @query(f"""with s as (select page_id, regexp_replace(url, '[?#].*$', '') || (['.py', '.tsx', '.go', '.h', '.yml', '', '.PY'])[page_id % 7 + 1] p from pages) select page_id, {_LANG_SQL} lang from s""")
@@ -722,13 +730,7 @@ def top_findings(spark, d):
     return reports.top_findings(f).select("function", "cwe")
 
 
-_RULE_WORDS = ", ".join(f"({i}, '{c}', {ks!r}, {n}.0)" for i, (c, n, ks) in enumerate((
-    ("validation", 2, "valid validate validates check checks verify verifies ensures assert require constraint schema format length range zero null empty invalid sanitize".split()),
-    ("authorization", 1.7, "owner only access permission role admin authorize authorized restrict restricted privilege onlyowner requires caller sender whitelist blacklist".split()),
-    ("computation", 1.8, "calculate calculates compute computes hash sign encrypt multiply divide sum average aggregate formula interest price score weight balance".split()),
-    ("io", 2, "fetch read write save load store database db http api request response upload download file stream socket network send receive".split()),
-    ("event", 1.3, "emit emits event log logs notify notification trigger dispatch publish broadcast webhook callback".split()),
-))).replace("1.7.0", "1.7").replace("1.8.0", "1.8").replace("1.3.0", "1.3")
+_RULE_WORDS = ", ".join(f"({i}, '{c}', {ks!r}, {least})" for i, (c, least, ks) in enumerate(_WORDS))
 
 
 @query(rf"""with w as (select doc_id, text, list_distinct(string_split_regex(lower(text), '[^0-9A-Za-z_]+')) ws from documents), k(i, category, ks, least) as (values {_RULE_WORDS}),
