@@ -687,12 +687,18 @@ def variable_rollup(spark, d):
     return reports.variable_rollup(s).withColumn("constraints", F.concat(F.lit("["), F.array_join("constraints", ", "), F.lit("]")))
 
 
-@query("""with g as (select l_partkey node from lineitem group by all having count(distinct l_suppkey) >= 2 and l_partkey % 50 = 0), a as (select distinct l_suppkey s from lineitem where l_partkey in (select node from g))
+# Variables of symbols, dealt by partkey: one in eleven holds a credential.
+_HELD = ("$x", "$total", "$session-id", "$n", "$query", "$price", "$name", "$role", "$y", "$input", "$z")
+
+
+@query(f"""with h as (select distinct l_partkey node, (list_value({', '.join(map(q, _HELD))}))[l_partkey % 11 + 1] variable from lineitem), c as (select node from h where regexp_matches(variable, '\\bsession[-_]?id\\b|\\btoken\\b|\\bpassword|passwd\\b')),
+g as (select l_partkey node from lineitem join c on node = l_partkey group by all having count(distinct l_suppkey) >= 2), a as (select distinct l_suppkey s from lineitem where l_partkey in (select node from g))
 select s as name, 'AUTHENTICATED' zone from a union all select s_suppkey, 'PUBLIC' from supplier where s_suppkey not in (select s from a)""")
 def privilege_zones(spark, d):
     e = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    g = graph.gates(e, F.col("dst") % 50 == 0)  # parts that stand for symbols with a credential
-    return reports.zones(read(spark, d, "supplier").select(F.col("s_suppkey").alias("name")), g, e)
+    held = e.select(F.col("dst").alias("symbol"), _deal(F.col("dst"), *_HELD).alias("variable"))
+    inward = e.join(reports.gate_candidates(held).withColumnRenamed("symbol", "dst"), "dst", "left_semi")
+    return reports.zones(read(spark, d, "supplier").select(F.col("s_suppkey").alias("name")), graph.gates(inward, F.lit(True)), e)
 
 
 @query(f"with {_SQL_SYMBOLS}, f as ({_FINDINGS}), c as (select cwe, count(*) found from f group by cwe) select rank, v.cwe, detectable, coalesce(found, 0) found, 55 percent from (" + """
@@ -820,3 +826,120 @@ def entrypoints_found(spark, d):
 @query(f"""select o_orderkey::varchar src, dst from orders join (values (0, '[echo] $id'), (1, '[echo] $a'), (2, '[print] $q'), (4, '[include] $p')) v(k, dst) on o_orderkey % {len(PHP)} = k""")
 def made_up_states(spark, d):
     return atoms.made_up_states(atoms.atoms(php_symbols(spark, d))).select("src", "dst")
+
+
+# ---------------------------------------------------------------- names, labels, settings, states
+
+
+def _deal(key, *values):
+    """The value that a key deals from a list."""
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+@query(r"""with p as (select p_partkey, 'src/' || p_brand || (['.py', '.md', '/README', '.lock', '/package-lock.json'])[p_partkey % 5 + 1] file, case when p_partkey % 3 = 0 then 'x:' else '' end || p_name as name,
+  ([['Function', 'Class'], ['Variable', 'Enum'], ['Module'], [], ['Method', 'Interface'], ['Other']])[p_partkey % 6 + 1] labels, (['api_key', 'host', 'PASSWORD', 'port'])[p_partkey % 4 + 1] setting, (['''a''', '[1]', 'array(1)', 'new A', 'TRUE', '1.5', '$x', '', '1.2.3', ' ''b'])[p_partkey % 10 + 1] literal,
+  (['Log the query', 'Needs permission', 'Reads a file', 'Validates it', 'Plain', 'EVENT'])[p_partkey % 6 + 1] said from part)
+select p_partkey, case when list_contains(labels, 'Class') then 'Class' when list_contains(labels, 'Interface') then 'Interface' when list_contains(labels, 'Enum') then 'Enum' when list_contains(labels, 'Variable') then 'Variable' when list_contains(labels, 'Method') then 'Method'
+  when list_contains(labels, 'Function') then 'Function' when list_contains(labels, 'Module') then 'Module' else 'Function' end kind, case when contains(name, ':') then name else file || ':' || name end qualified,
+ trim(regexp_replace(file, '[^A-Za-z0-9]+', '-', 'g'), '-') slug, case when length(repeat(name, 5)) > 60 then regexp_replace(repeat(name, 5), '[^a-zA-Z0-9_-]', '_', 'g')[:50] || '_' || md5(repeat(name, 5))[:6] else regexp_replace(repeat(name, 5), '[^a-zA-Z0-9_-]', '_', 'g') end safe,
+ case when setting in ('api_key', 'PASSWORD') then '********' else p_partkey::varchar end shown, case literal when '''a''' then 'string' when '[1]' then 'array' when 'array(1)' then 'array' when 'new A' then 'object' when 'TRUE' then 'boolean' when '1.5' then 'number' when '' then 'unknown' else 'dynamic' end literal,
+ case said when 'Log the query' then 'event' when 'EVENT' then 'event' when 'Needs permission' then 'authorization' when 'Reads a file' then 'io' when 'Validates it' then 'validation' else 'generic' end category,
+ regexp_matches(lower(file), '[.](md|json|txt|ya?ml|lock|log)$|readme|changelog|license|contributors|authors') or regexp_matches(lower(name), 'readme|changelog|license|contributors|authors') documentation,
+ ends_with(file, '.md') or ends_with(file, '/package-lock.json') ignored from p""")
+def symbol_texts(spark, d):
+    k = F.col("p_partkey")
+    labels = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in (("Function", "Class"), ("Variable", "Enum"), ("Module",), (), ("Method", "Interface"), ("Other",))]), (k % 6 + 1).cast("int"))
+    p = read(spark, d, "part").select(
+        k, F.concat(F.lit("src/"), "p_brand", _deal(k, ".py", ".md", "/README", ".lock", "/package-lock.json")).alias("file"), F.concat(F.when(k % 3 == 0, "x:").otherwise(""), "p_name").alias("name"), labels.alias("labels"),
+        _deal(k, "api_key", "host", "PASSWORD", "port").alias("setting"), _deal(k, "'a'", "[1]", "array(1)", "new A", "TRUE", "1.5", "$x", "", "1.2.3", " 'b").alias("literal"),
+        _deal(k, "Log the query", "Needs permission", "Reads a file", "Validates it", "Plain", "EVENT").alias("said"),
+    )
+    return p.select(
+        "p_partkey", text.kind_of(F.col("labels")).alias("kind"), text.qualified(F.col("file"), F.col("name")).alias("qualified"), text.slug(F.col("file")).alias("slug"), text.safe_name(F.repeat("name", F.lit(5))).alias("safe"),
+        text.masked(F.col("setting"), F.col("p_partkey").cast("string")).alias("shown"), text.literal_type(F.col("literal")).alias("literal"), text.inline_category(F.col("said")).alias("category"),
+        text.is_documentation(F.col("file"), F.col("name")).alias("documentation"), text.ignored(F.col("file")).alias("ignored"),
+    )
+
+
+_STATES = ("[include_once] a/b.php", "[require] c", "Redirect: /x", "[echo] " + "y" * 70, "[mysqli_query] $q", "die", "src/a/b.php", "main", "[redirect] z", "<b>location: w", "[eval] code")
+
+
+@query(f"""with s as (select o_orderkey, (list_value({', '.join(map(q, _STATES))}))[o_orderkey % {len(_STATES)} + 1] state from orders)
+select o_orderkey, case o_orderkey % {len(_STATES)} when 0 then 'Include (once): a/b.php' when 1 then 'Require: c' when 2 then 'Redirect: /x' when 3 then 'Render Output: ' || repeat('y', 60) || '...' when 4 then '[(DB)] Query: $q' when 5 then 'Terminate' when 6 then 'b.php'
+ when 7 then 'main' when 8 then '[redirect] z' when 9 then '<b>location: w' when 10 then '🚨 DANGEROUS: Dynamic Eval: code' end as label from s""")
+def state_labels(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", reports.state_label(_deal(F.col("o_orderkey"), *_STATES)).alias("label"))
+
+
+@query(f"""with s as (select o_custkey behaviour, (list_value({', '.join(map(q, _STATES))}))[o_orderkey % {len(_STATES)} + 1] state, o_orderkey from orders), f as (select distinct o_custkey behaviour, 'Redirect: /x' state from orders where o_orderkey % 7 = 0)
+select behaviour, s.state, count(*) n from s left join f using (behaviour, state) where f.state is not null or s.state = 'main' or s.state not in ('Redirect: /x', '[redirect] z', '<b>location: w') or s.state = '<b>location: w' and behaviour % 2 = 0 group by all""")
+def pruned_states(spark, d):
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    state = _deal(k, *_STATES)
+    kind = F.when(F.startswith(state, F.lit("<")) & (F.col("o_custkey") % 2 == 1), "Synthesized").otherwise("Function")
+    s = o.select(F.col("o_custkey").alias("behaviour"), state.alias("state"), kind.alias("kind"), F.lit("main").alias("entry"))
+    flows = o.where(k % 7 == 0).select(F.col("o_custkey").alias("behaviour"), F.lit("Redirect: /x").alias("source"), F.lit("").alias("sink"))
+    return reports.pruned_states(s, flows).groupBy("behaviour", "state").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select o_orderkey id, o_orderkey % 25 c, o_orderkey % 7 v from orders), n as (select n_nationkey c, 'C' || n_nationkey as word, n_name as value, case when n_nationkey % 2 = 0 then 'registry (defined in f' || n_regionkey || '.php)' else 'env' end source from nation)
+select id, word, value, source from e join n using (c) union all select id, '$v' || v, 'x' || id, 'internal' from e where v < 4""")
+def resolved_words(spark, d):
+    k = F.col("o_orderkey")
+    e = read(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("C"), (k % 25).cast("string"), F.lit(" . 'C1 $v0' . $v"), (k % 7).cast("string")).alias("expression"))
+    n = F.col("n_nationkey")
+    registry = read(spark, d, "nation").select(F.concat(F.lit("C"), n.cast("string")).alias("name"), F.col("n_name").alias("value"), F.concat(F.lit("f"), F.col("n_regionkey").cast("string"), F.lit(".php")).alias("origin"), F.when(n % 2 == 0, "constant").otherwise("env").alias("kind"))
+    states = read(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("$v"), (k % 7).cast("string")).alias("variable"), F.when(k % 7 < 4, "CONSTANT").otherwise("TAINTED").alias("state"), F.concat(F.lit("x"), k.cast("string")).alias("value"), F.lit("internal").alias("source"), k.alias("seq"))
+    return reports.resolved_words(e, registry, states)
+
+
+@query("""with w as (select distinct 'm' || (o_orderkey % 30) || '/f' || (o_orderkey % 50) || '.py' file from orders), f as (select distinct 'm' || (p_partkey % 20) || '/f' || (p_partkey % 40) || '.py' path from part), b as (select split_part(path, '/', 2) base, min(path) first from f group by base)
+select file, coalesce(f.path, b.first) path from w left join f on f.path = w.file left join b on b.base = split_part(w.file, '/', 2)""")
+def real_files(spark, d):
+    at = lambda k, a, b: F.concat(F.lit("m"), (k % a).cast("string"), F.lit("/f"), (k % b).cast("string"), F.lit(".py"))
+    return reports.real_files(read(spark, d, "orders").select(at(F.col("o_orderkey"), 30, 50).alias("file")), read(spark, d, "part").select(at(F.col("p_partkey"), 20, 40).alias("path")))
+
+
+@query("""select 'KEY_' || c_nationkey as name, max_by('v=' || c_custkey, c_custkey) as value, 'd' || c_nationkey || '/.env' origin from customer group by c_nationkey""")
+def env_settings(spark, d):
+    from tessera.sources import readers
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    line = F.concat(F.lit("# c\n\n KEY_"), n, F.lit(" = 'v="), k.cast("string"), F.lit("'\nBAD"))
+    files = read(spark, d, "customer").groupBy(n.alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
+    return readers.settings(files.select(F.concat(F.lit("d"), "n", F.lit("/.env")).alias("path"), "content"))
+
+
+@query("""with e as (select *, event_id % 2 part from events), r as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by ts desc, part desc, event_id desc) r from e) select user_id, event_type, value from r where r = 1""")
+def upserted(spark, d):
+    from tessera.sources import readers
+
+    e = read(spark, d, "events").select("user_id", "event_type", "ts", "value", "event_id")
+    both = readers.upserted(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["ts"])
+    return both.select("user_id", "event_type", "value")
+
+
+@query("""select l_suppkey::varchar symbol, 'a == ' || l_linenumber invariant from lineitem where l_linenumber <= 3 union select l_suppkey::varchar, l_returnflag from lineitem where l_returnflag <> 'R'""")
+def invariants(spark, d):
+    n = F.col("l_linenumber")
+    c = F.array(F.when(n > 3, F.lit("x" * 100)).otherwise(F.concat(F.lit("a == "), n.cast("string"))), F.when(F.col("l_returnflag") == "R", "{r}").otherwise(F.col("l_returnflag")))
+    return reports.invariants(read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), c.alias("constraints")))
+
+
+@query("select l_suppkey::varchar file, 'v' || (l_partkey % 9) variable, arg_max(l_returnflag, " + _SEQ + ") state from lineitem group by all")
+def last_states(spark, d):
+    s = read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("file"), F.concat(F.lit("v"), (F.col("l_partkey") % 9).cast("string")).alias("variable"), F.col("l_returnflag").alias("state"), _seq().alias("seq"))
+    return reports.last_states(s)
+
+
+@query("select l_suppkey::varchar symbol, array_to_string(list_sort(list_distinct(list(l_shipdate::date::varchar))), ',') findings from lineitem group by l_suppkey")
+def findings_of_symbols(spark, d):
+    rows = read(spark, d, "lineitem").select(F.concat(F.lit(" "), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").cast("string").alias("f"))
+    return reports.links(rows, "symbol", "f", "findings").select("symbol", F.array_join("findings", ",").alias("findings"))
+
+
+@query(f"""with recursive {_BELIEFS}, l as (select user_id, max(k) n, arg_max(p, k) p from r group by user_id), s as (select *, list_reverse_sort(p) s from l), w as (select *, case when n >= 3 and s[1] > 0.8 and s[1] - s[2] > 0.2 then (['Gate', 'Sink', 'Transform', 'IO', 'Storage'])[list_position(p, s[1])] end w from s)
+select user_id, round(1 - s[1], 6) uncertainty, user_id || ' is ' || coalesce(w, 'undecided') || ' (' || case when w is null then 'superposition' else 'active' end || ') after ' || n || ' observations' prose from w""")
+def belief_context(spark, d):
+    f = beliefs.collapse(beliefs.fold(observations(spark, d), "user_id", "kind", "weight", "trust", ["ts", "event_id"]))
+    return beliefs.context(f, "user_id").select("user_id", F.round("uncertainty", 6).alias("uncertainty"), "prose")
