@@ -73,7 +73,8 @@ def _peel(cells: str, m: str) -> str:
     A cell gives its digest away if its count is 1 or -1 and both its check and its place fit; each round
     takes what was given out of the other cells. Rounds end when none is given.
     """
-    pure = f"abs(c.n) = 1 and {_check('c.x')} = c.c and c.i in ({', '.join(_cells('c.x', m))})"
+    row = f"cast(c.i div {m} as int)"
+    pure = f"abs(c.n) = 1 and {_check('c.x')} = c.c and c.i = {row} * {m} + shiftright(c.x, {row} * 17 + 3) % {m}"
     side = lambda n: f"array_distinct(transform(filter(f, c -> c.n = {n}), c -> c.x))"
     given = _let(f"filter(s.cells, c -> {pure})", "f", f"struct({side(1)} as a, {side(-1)} as b)")
     left = _merged(f"concat(s.cells, {_entries('f.a', m, count='-1')}, {_entries('f.b', m)})")
@@ -97,7 +98,12 @@ def sketch(digests: str) -> Column:
     Its first size is the least power of two for two cells a digest and two to spare; it is doubled while peeling gets stuck.
     """
     first = f"greatest({LEAST}, shiftleft(1, length(bin(cast(ceil((2 * size({digests}) + 6) / 3) as int) - 1))))"
-    one = _let(_merged(_entries(digests, "m")), "g", _let(_peel("g", "m"), "p", f"case when p is not null or t = {DOUBLINGS} then struct(m as m, g as cells, coalesce(p.a, cast(array() as array<bigint>)) as listed) end"))
+    # Peeling, with the digests at hand: those alone in a cell come off, and the cells of the rest are made again.
+    off = lambda rest, cells: f"array_except({rest}, transform(filter({cells}, c -> c.n = 1), c -> c.x))"
+    less = _let(_merged(_entries("u.rest", "m")), "h", _let(off("u.rest", "h"), "r", "struct(r as rest, size(r) < size(u.rest) as live)"))
+    stuck = f"aggregate(sequence(1, 40), struct({off(digests, 'g')} as rest, true as live), (u, w) -> case when u.live and size(u.rest) > 0 then {less} else u end, u -> size(u.rest) > 0)"
+    done = f"case when not l or t = {DOUBLINGS} then struct(m as m, g as cells, case when l then cast(array() as array<bigint>) else {digests} end as listed) end"
+    one = _let(_merged(_entries(digests, "m")), "g", _let(stuck, "l", done))
     tried = f"aggregate(sequence(0, {DOUBLINGS}), cast(null as {SKETCH}), (s, t) -> case when s is null then {_let(f'shiftleft({first}, t)', 'm', one)} else s end)"
     return F.expr(tried)
 
