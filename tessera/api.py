@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.flow import atoms, systemic, taint
 from tessera.functions import docstrings, lint, scores, text
-from tessera.operators import beliefs, graph, relational, reports, scans, simulation, traversal, vectors
+from tessera.operators import beliefs, graph, pages, relational, reports, scans, simulation, traversal, vectors
 from tessera.session import checkpointed
 from tessera.sources import entrypoints as entries
 from tessera.sources import readers
@@ -166,3 +166,8 @@ def library(symbols: DataFrame, calls: DataFrame, files: DataFrame, embed: Embed
         "coverage": reports.coverage(out["findings"]), "gates": gates, "zones": reports.zones(s, gates, calls), "behaviours": traversal.behaviour(every, starts, s.select(F.col("name").alias("node"), "file")),
         "archetypes": reports.ranked(board, [F.desc("mass"), F.col("name")], 15, ["archetype"]), "hotspots": reports.ranked(board, [F.desc("mass"), F.col("name")], 10),
     }
+
+
+def publish(tables: dict[str, DataFrame], folder: str) -> int:
+    """Write the pages of ``library``'s tables below ``folder`` and give their number."""
+    return pages.write(pages.library_pages(tables), folder)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.flow import atoms, systemic, taint
 from tessera.functions import docstrings, lint, scores, text
-from tessera.operators import beliefs, graph, relational, reports, scans, simulation, traversal, vectors
+from tessera.operators import beliefs, graph, pages, relational, reports, scans, simulation, traversal, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -723,6 +723,14 @@ def key_symbols(spark, d):
     return reports.ranked(report_symbols(spark, d), [F.desc_nulls_last("mass"), F.col("seq")], 10, ["archetype"]).select("name", "mass", "rank", "archetype")
 
 
+@query(f"""with {_SYM}, s as (select name, archetype, coalesce(mass, 1.0) mass, coalesce(energy, 0.0) energy from sym), r as (select *, row_number() over (partition by archetype order by mass desc, name, energy) rank from s),
+t as (select archetype, string_agg('- [[symbols/' || regexp_replace(name, '[^a-zA-Z0-9_-]', '_', 'g') || '\\|' || split_part(name, ':', -1) || ']] (mass ' || printf('%.2f', mass) || ', energy ' || printf('%.2f', energy) || ')', chr(10) order by rank) top from r where rank <= 10 group by 1)
+select 'narratives/' || archetype || '.md' path, '# Subsystem: ' || archetype || chr(10) || chr(10) || printf('%d symbols with a mass of %.2f together.', count(*), sum(mass)) || chr(10) || '## Key symbols' || chr(10) || chr(10) || any_value(top) || chr(10) content
+from s join t using (archetype) group by archetype""")
+def narrative_pages(spark, d):
+    return pages.narratives(report_symbols(spark, d))
+
+
 @query(f"with {_SYM} select name, energy, (row_number() over (order by energy desc, seq))::int rank from (select * replace (coalesce(energy, 0.0) as energy) from sym) order by energy desc, seq limit 10")
 def attention_hotspots(spark, d):
     s = report_symbols(spark, d).withColumn("energy", F.coalesce("energy", F.lit(0.0)))

@@ -46,8 +46,10 @@ def test_audit(base):
     assert ("index.php:main -> lib.php:show", "$b", "echo", "HIGH") in paths and ("index.php:main -> lib.php:login", "$token", "query", "CRITICAL") in paths
 
 
-def test_library(base):
+def test_library(base, tmp_path):
     out = api.library(*base)
+    assert api.publish(out, str(tmp_path)) > 10 and "XSS" not in (tmp_path / "symbols/util_py_run.md").read_text()
+    assert "CWE-400" in (tmp_path / "symbols/util_py_run.md").read_text() and (tmp_path / "behaviors/index_php_main.json").exists()
     assert {r["node"] for r in out["gates"].collect()} == {"lib.php:login"} and {r["name"] for r in out["zones"].where("zone = 'AUTHENTICATED'").collect()} == {"index.php:main", "util.py:run"}
     steps = [(r["src"], r["dst"]) for r in out["behaviours"].orderBy("step").collect() if r["start"] == "index.php:main"]
     assert steps[:2] == [("index.php:main", "lib.php:show"), ("index.php:main", "lib.php:login")] and ("lib.php:show", "[echo] $b") in steps
