@@ -112,6 +112,45 @@ def test_jaccard_brute_force(spark):
     assert jaccard_join.jaccard_classes(docs(spark, "a").limit(0)).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written."""
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_jaccard_shuffles_little_in_many_partitions(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard_join, "_BROADCAST_KEYS", broadcast)
+    r = random.Random(6)
+    texts = [" ".join(f"{r.randrange(36**6):x}" for _ in range(300)) for _ in range(1200)]
+    texts += [t + " end" for t in texts[:5]]
+    d, before = shared.checkpointed(docs(spark, *texts)), shuffled(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_classes(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: i - 1200 if i >= 1200 else i for i in range(len(texts))}
+    assert (shuffled(spark) - before) / sum(map(len, texts)) < 0.75
+
+
+def test_posts_come_back_as_they_were():
+    rng = np.random.default_rng(2)
+    for bits in (1, 8, 31, 50, 64):
+        for n in (1, 2, 7, 3000):
+            values = np.sort(rng.integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
+            assert (jaccard_join._unrice(jaccard_join._rice(values)) == values).all()
+
+
+def test_short_keys_that_clash_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "post_widths", lambda *_: (32, 1), raising=False)
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(9)) for _ in range(r.choice([4, 9, 40, 200]))) for _ in range(150)]
+    texts += [t + " end" for t in texts]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_classes(docs(spark, *texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def rows_of(spark, *rows):
     return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
