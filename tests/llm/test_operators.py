@@ -178,6 +178,19 @@ def test_ids_that_are_null_or_repeat(spark):
     assert len(stay(d)) == len(set(roots)) and {i for i, _ in stay(d)} == set(least.values())
 
 
+def test_rows_without_many_others_are_not_all_shuffled(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"{random.Random(i).randrange(36**6):x}" for i in range(300))
+    rows = shared.checkpointed(rows_of(spark, *((i if i % 7 else None, f"{i} {long}") for i in range(500)), (3, "again"), (None, None)).withColumn("row_key", jaccard_join.row_keys(F.col("doc_id"), F.col("text"))))
+    gone = shared.checkpointed(rows.where("text like '1_ %' or text is null").select("doc_id", "row_key"))
+    plain = {(r["doc_id"], r["text"]) for r in rows.where("text is not null and not text like '1_ %'").collect()}
+    before = shuffled(spark)
+    got = [(r["doc_id"], r["text"]) for r in p._without(rows, gone, 0).collect()]
+    assert len(got) == len(plain) == 491 and set(got) == plain
+    assert shuffled(spark) - before < 500 * len(long) // 10
+
+
 def test_merge_skip():
     r = random.Random(8)
     for _ in range(300):
