@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.session import checkpointed
 
 # What the forty weaknesses of the coverage table are, and whether one of the scans finds them.
 COVERAGE = (
@@ -72,17 +73,25 @@ def resolve_hints(hints: DataFrame, symbols: DataFrame, hint: str = "hint") -> D
 def entry_symbols(entries: DataFrame, symbols: DataFrame) -> DataFrame:
     """type, file, name, symbol of entry points: the first symbol (name, file, seq) of its file, else one whose name holds the file, else one of its name.
 
-    Entry points that none of these finds are left out. There are few entry points: they are broadcast up to 100,000 rows for the second step.
+    Entry points that none of these finds are left out. Symbols are one row a file and a name before they are joined, so neither many symbols of a
+    file nor many entry points in it meet in pairs. A name holds a file if it has it at some place: each name's pieces, of the lengths that files have, are joined with
+    the files; the files are broadcast up to 100,000.
     """
-    e = entries.withColumn("__id", F.monotonically_increasing_id())
     s = symbols.select(F.col("name").alias("__name"), F.col("file").alias("__file"), F.col("seq").alias("__seq"))
-    of_file = e.join(s, F.col("file") == F.col("__file")).groupBy("__id").agg(F.min_by("__name", "__seq").alias("by_file"))
-    rest = e.join(of_file, "__id", "left_anti").where("file <> ''")
-    rest = F.broadcast(rest) if rest.count() <= 100_000 else rest
-    holds = s.join(rest, F.contains("__name", "file")).groupBy("__id").agg(F.min_by("__name", "__seq").alias("by_part"))
-    named = e.join(s, F.col("name") == F.col("__name")).groupBy("__id").agg(F.min_by("__name", "__seq").alias("by_name"))
-    every = e.join(of_file, "__id", "left").join(holds, "__id", "left").join(named, "__id", "left")
-    return every.select("type", "file", "name", F.coalesce("by_file", "by_part", "by_name").alias("symbol")).where("symbol is not null")
+    of_file = s.groupBy("__file").agg(F.min_by("__name", "__seq").alias("by_file"))
+    first = s.where("__name is not null").groupBy("__name").agg(F.min("__seq").alias("__seq"))
+    e = entries.join(of_file, F.col("file") == F.col("__file"), "left").drop("__file")
+    rest = checkpointed(e.where("by_file is null and file <> ''").select("file").distinct())
+    lengths = rest.agg(F.sort_array(F.collect_set(F.length("file"))).alias("__lengths"))
+    pieces = F.flatten(F.transform("__lengths", lambda n: F.transform(
+        F.when(n <= F.length("__name"), F.sequence(F.lit(1), F.length("__name") - n + 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.substr("__name", i, n)
+    )))
+    held = first.join(F.broadcast(lengths), F.lit(True)).select("__name", "__seq", F.explode(F.array_distinct(pieces)).alias("__piece"))  # one row
+    few = F.broadcast(rest) if rest.count() <= 100_000 else rest
+    holds = held.join(few, F.col("__piece") == F.col("file")).groupBy(F.col("file").alias("__file")).agg(F.min_by("__name", "__seq").alias("by_part"))
+    every = e.join(holds, (F.col("file") == F.col("__file")) & F.col("by_file").isNull(), "left").drop("__file")
+    every = every.join(first.select("__name"), F.col("name") == F.col("__name"), "left")
+    return every.select("type", "file", "name", F.coalesce("by_file", "by_part", "__name").alias("symbol")).where("symbol is not null")
 
 
 def real_files(paths: DataFrame, files: DataFrame) -> DataFrame:
