@@ -2,11 +2,15 @@
 
 import time
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.flow import atoms
-from tessera.operators import reports
-from tessera.plans.queries import PHP
+from tessera.operators import reports, vectors
+from tessera.plans.queries import PHP, QUERIES
 
 
 def test_atoms_leave_in_whole_batches(spark):
@@ -62,3 +66,26 @@ def rows_joined(df):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.length())]
     return most
+
+
+def test_blocks_are_not_sent_once_for_each_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "_blocks", lambda df, block, cut=vectors._blocks: cut(df, 70))
+    monkeypatch.setattr(vectors, "_TOGETHER", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)).round(1)
+    x[50:60], x[200] = x[97], 0  # ties, and a vector without a direction
+    pd.DataFrame({"vec_id": range(400), "embedding": list(x), "label": [i % 3 for i in range(400)]}).to_parquet(tmp_path / "embeddings.parquet")
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    cos = unit @ unit.T
+    got = {(r["id"], r["rank"]): (r["neighbour"], r["similarity"]) for r in QUERIES["nearest_neighbors_top3"](spark, str(tmp_path)).collect()}
+    assert len(got) == 1200
+    for i in range(400):
+        best = sorted((-round(cos[i, j], 6), j) for j in range(400) if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [(j, pytest.approx(-s, abs=1e-6)) for s, j in best]
+    mass = np.array([1 + 0.3 * (i % 3 or 1) + 0.5 * (i % 2) + 2.0 * (i % 5 == 0) for i in range(400)])
+    force = np.outer(mass, mass) / np.maximum(1 - cos, 1e-5)
+    np.fill_diagonal(force, 0)
+    assert {r["id"]: r["energy"] for r in QUERIES["energy_scoreboard"](spark, str(tmp_path)).collect()} == pytest.approx(dict(enumerate(-force.sum(1))), rel=1e-6)
+    pairs = QUERIES["entangled_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in pairs and "Exchange" not in pairs
