@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.flow import atoms
-from tessera.operators import reports, vectors
+from tessera.operators import graph, reports, vectors
 from tessera.plans.queries import PHP, QUERIES
 
 
@@ -89,3 +89,20 @@ def test_blocks_are_not_sent_once_for_each_other(spark, tmp_path, monkeypatch):
     assert {r["id"]: r["energy"] for r in QUERIES["energy_scoreboard"](spark, str(tmp_path)).collect()} == pytest.approx(dict(enumerate(-force.sum(1))), rel=1e-6)
     pairs = QUERIES["entangled_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in pairs and "Exchange" not in pairs
+
+
+def test_walks_shuffle_starts_only(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    for kind, name in (("long", int), ("string", "n{}".format)):
+        ends = [(name(int(a)), name(int(b))) for a, b in rng.integers(0, 150, (260, 2))] + [(name(i), name(7)) for i in range(100)] + [(name(3), None), (None, name(3)), (name(4), name(4))]
+        edges = spark.createDataFrame(ends, f"src {kind}, dst {kind}")
+        starts = spark.createDataFrame([(name(i),) for i in (*range(0, 150, 3), 0, 999)] + [(None,)], f"start {kind}")
+        for direction in ("out", "in", "both"):
+            monkeypatch.setattr(graph, "_ROWS", 37)
+            walked = graph.reach(edges, starts, 3, direction)
+            plan = walked._jdf.queryExecution().executedPlan().toString()
+            monkeypatch.setattr(graph, "MOST_SENT", 0)
+            joined = graph.reach(edges, starts, 3, direction)
+            monkeypatch.undo()
+            assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, joined.collect())) and "Join" not in plan
+    assert graph.reach(edges.limit(0), starts, 2).count() == 0
