@@ -6,7 +6,9 @@ the patterns. Patterns on code see it without comments; those of ``BARE`` withou
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import docstrings
@@ -193,3 +195,15 @@ def warnings(**columns: Column) -> Column:
 def broken(**columns: Column) -> Column:
     """The identifiers of all rules broken, sorted."""
     return _once(columns, lambda found: F.array_compact(F.array(*[F.when(F.size(w) > 0, F.lit(rule)) for rule, w in found.items()])))
+
+
+def by_record(records: DataFrame, columns: dict[str, Column], make: Callable[..., Column], name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``also``, what ``make`` (``warnings`` or ``broken``) gives as ``name``, and n: how many records are so; records that are alike are one row, read once.
+
+    ``columns`` are those of ``findings``. The rules are many patterns a record, and copies of a file have the same records.
+    """
+    alike = records.select(*also, *[c.alias(f"__{n}") for n, c in columns.items()])
+    alike = alike.groupBy(*alike.columns).agg(F.count("*").alias("n"))
+    # Through an array and out again: a filter on what the rules give would else be one that makes it a second time.
+    made = alike.select(*also, "n", F.explode(F.array(make(**{n: F.col(f"__{n}") for n in columns}))).alias(name))
+    return made.select(*also, name, "n")

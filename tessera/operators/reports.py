@@ -233,9 +233,9 @@ def state_label(state: Column) -> Column:
     return out.otherwise(F.element_at(F.split(state, "/"), -1))
 
 
-def warnings_index(records: DataFrame) -> DataFrame:
-    """name, file, warnings (joined) of records that have any."""
-    return records.where(F.size("warnings") > 0).select("name", "file", F.array_join("warnings", ", ").alias("warnings"))
+def warnings_index(records: DataFrame, *also: str) -> DataFrame:
+    """name, file, warnings (joined) and ``also`` of records that have any."""
+    return records.where(F.size("warnings") > 0).select("name", "file", F.array_join("warnings", ", ").alias("warnings"), *also)
 
 
 def prerequisites(registry: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.flow import atoms
+from tessera.functions import lint
 from tessera.operators import graph, reports, vectors
+from tessera.plans import queries
 from tessera.plans.queries import PHP, QUERIES
 
 
@@ -106,3 +108,17 @@ def test_walks_shuffle_starts_only(spark, monkeypatch):
             monkeypatch.undo()
             assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, joined.collect())) and "Join" not in plan
     assert graph.reach(edges.limit(0), starts, 2).count() == 0
+
+
+def test_records_that_are_alike_are_linted_once(spark):
+    cases = queries.LINT_CASES
+    rows = [(*cases[i % len(cases)][:4], cases[i % len(cases)][4] if i % 7 else None, i % 3) for i in range(400)]
+    d = spark.createDataFrame(rows, "name string, signature string, docstring string, path string, code string, other long")
+    columns = queries._record_columns()
+    got = lint.by_record(d, columns, lint.warnings, "w", ("name", "other"))
+    count = lambda rows: sorted((r[0], r[1], tuple(r[2])) for r in rows for _ in range(r[3]))
+    assert count(got.collect()) == count((*r, 1) for r in d.select("name", "other", lint.warnings(**columns)).collect())
+    assert got.count() < 200
+    plan = reports.warnings_index(got.withColumnsRenamed({"other": "file", "w": "warnings"}), "n")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert "Filter" not in below and "Aggregate" in below  # no filter makes the warnings a second time
