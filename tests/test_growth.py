@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.flow import atoms
 from tessera.functions import lint
-from tessera.operators import graph, reports, vectors
+from tessera.operators import graph, reports, simulation, vectors
 from tessera.plans import queries
 from tessera.plans.queries import PHP, QUERIES
 
@@ -122,3 +122,16 @@ def test_records_that_are_alike_are_linted_once(spark):
     plan = reports.warnings_index(got.withColumnsRenamed({"other": "file", "w": "warnings"}), "n")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Generate") :]
     assert "Filter" not in below and "Aggregate" in below  # no filter makes the warnings a second time
+
+
+def test_any_number_of_bodies_moves(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist(), float(m)) for i, m in enumerate(rng.uniform(1, 4, 700))]
+    d = spark.createDataFrame(rows, "id long, vector array<double>, mass double")
+    one, grid = ({r["id"]: tuple(r)[1:] for r in simulation.simulate(d, 3).collect()}, simulation.calibrate(d, 2).orderBy("g", "k").collect())
+    monkeypatch.setattr(simulation, "MOST", 600)
+    monkeypatch.setattr(simulation, "_TOGETHER", 64)
+    monkeypatch.setattr(simulation, "_PAIRS", 50)
+    many = {r["id"]: tuple(r)[1:] for r in simulation.simulate(d, 3).collect()}
+    assert one.keys() == many.keys() and all(many[i] == pytest.approx(one[i], rel=1e-9, abs=1e-9) for i in one)
+    assert [tuple(r) for r in simulation.calibrate(d, 2).orderBy("g", "k").collect()] == [tuple(r) for r in grid]
