@@ -1,6 +1,8 @@
 """What larger tables ask for: results against plain code, and how much is written or done on the way."""
 
+import re
 import time
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -135,3 +137,15 @@ def test_any_number_of_bodies_moves(spark, monkeypatch):
     many = {r["id"]: tuple(r)[1:] for r in simulation.simulate(d, 3).collect()}
     assert one.keys() == many.keys() and all(many[i] == pytest.approx(one[i], rel=1e-9, abs=1e-9) for i in one)
     assert [tuple(r) for r in simulation.calibrate(d, 2).orderBy("g", "k").collect()] == [tuple(r) for r in grid]
+
+
+def test_words_are_counted_once(spark):
+    texts = ["Ab cd, AB!", "", None, "é1 é1 x", " ".join(f"w{i % 500}" for i in range(3000))]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    embedded = d.select("id", vectors.hashed_embedding(F.col("t"), 16).alias("v"))
+    for r in embedded.collect():
+        words = [w for w in re.split(r"[^\w]+", (texts[r["id"]] or "").lower()) if w]
+        want = [sum(int(md5(w.encode()).hexdigest()[:8], 16) % 16 == i for w in words) for i in range(16)]
+        assert r["v"] == (None if texts[r["id"]] is None else want)
+    plan = embedded.where(F.element_at("v", 1) > 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # not once more for the filter
